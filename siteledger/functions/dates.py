@@ -88,7 +88,7 @@ def excel_date(serial: Column | str) -> Column:
 
 def roc_date(year: Column, month: Column, day: Column) -> Column:
     """Year of the Republic to ISO text."""
-    return iso(year.cast("bigint") + 1911, month.cast("bigint"), day.cast("bigint"))
+    return iso(year.try_cast("bigint") + 1911, month.try_cast("bigint"), day.try_cast("bigint"))
 
 
 def date_text(value: Column | str) -> Column:

@@ -44,22 +44,24 @@ SECTION_TITLE = "^[一二三四五六七八九十]、"
 
 def day_cells(cells: DataFrame) -> DataFrame:
     """Cells of the day sheets, with the day number taken from names like ``(7)``."""
-    day = F.regexp_extract("sheet", DAY_SHEET, 1).cast("bigint")
-    return cells.filter(F.col("sheet").rlike(DAY_SHEET)).withColumn("day_pos", day)
+    return cells.filter(F.col("sheet").rlike(DAY_SHEET)).withColumn("day_pos", _day_pos())
 
 
-def day_sheets(cells: DataFrame) -> DataFrame:
+def day_sheets(sheets: DataFrame) -> DataFrame:
     """The day sheets of each file; ``day_pos`` gives their numeric order."""
-    return day_cells(cells).select("file_id", "sheet", "day_pos").distinct()
+    return day_cells(sheets).select("file_id", "sheet", "day_pos")
 
 
 def _day_pos() -> Column:
-    return F.regexp_extract("sheet", DAY_SHEET, 1).cast("bigint").alias("day_pos")
+    return F.regexp_extract("sheet", DAY_SHEET, 1).try_cast("bigint").alias("day_pos")
 
 
-def form_days(cells: DataFrame) -> DataFrame:
-    """One header per day sheet; weekday, worker total and cumulative amount do not exist here."""
-    values = sheet_values(day_cells(cells), HEADER_CELLS)
+def form_days(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """One header per day sheet, also for an empty one.
+
+    Weekday, worker total and cumulative amount do not exist in this layout.
+    """
+    values = day_sheets(sheets).drop("day_pos").join(sheet_values(day_cells(cells), HEADER_CELLS), SHEET, "left")
     nothing = F.lit(None)
     return values.select(
         "file_id",

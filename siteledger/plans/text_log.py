@@ -66,10 +66,12 @@ def body_lines(text: Column) -> Column:
 
 
 def item_texts(lines: Column) -> Column:
-    """One text per item: its opening line and the lines that continue it."""
-    mark = "\x1e"
-    marked = F.transform(lines, lambda line: F.when(line.rlike(ITEM_START), F.concat(F.lit(mark), line)).otherwise(line))
-    parts = F.split(F.array_join(marked, "\n"), mark)
+    """One text per item: its opening line and the lines that continue it.
+
+    Lines hold no line break and none is blank, so an empty line marks an opening safely.
+    """
+    marked = F.transform(lines, lambda line: F.when(line.rlike(ITEM_START), F.concat(F.lit("\n"), line)).otherwise(line))
+    parts = F.split(F.concat(F.lit("\n"), F.array_join(marked, "\n")), "\n\n")
     return F.slice(parts, 2, F.size(parts))
 
 
