@@ -64,6 +64,11 @@ def month_number(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
 
 
+def base_month(start: Column, created: Column, as_of: datetime | str | None = None) -> Column:
+    """Month a project's grid begins with: its start, else its creation, else now."""
+    return month_of(F.coalesce(F.to_date(start), F.to_date(created), F.lit(local_now(as_of).date())))
+
+
 def period_text(month: Column) -> Column:
     return F.concat(F.lpad(F.floor(month / 12).cast("string"), 4, "0"), F.lit("-"), pad2(month % 12 + 1))
 

@@ -61,6 +61,23 @@ def fee_display(projects: DataFrame) -> DataFrame:
     return with_fees(projects).select("id", "project_no", "name", text.alias("fee_text"))
 
 
+# Labels of states and kinds of submissions.
+STATUS_LABELS = {"submitted": "已繳", "overdue": "未繳", "pending": "未到期"}
+TYPE_LABELS = {"supervision": "督導", "monthly": "每月"}
+
+
+def status_display(grid: DataFrame) -> DataFrame:
+    label = F.lit("")
+    for state, text in STATUS_LABELS.items():
+        label = F.when(F.col("status") == state, F.lit(text)).otherwise(label)
+    return grid.withColumn("status_label", label)
+
+
+def ledger_display(ledger: DataFrame) -> DataFrame:
+    kind = F.when(F.col("type") == "supervision", TYPE_LABELS["supervision"]).otherwise(TYPE_LABELS["monthly"])
+    return ledger.withColumns({"type_label": kind, "period_text": F.coalesce("period", F.lit("—"))})
+
+
 def normalized_projects(raw: DataFrame) -> DataFrame:
     """Empty text becomes null in every project field."""
     kept = [c for c in raw.columns if c not in PROJECT_FIELDS]

@@ -15,8 +15,7 @@ PAGE_SIZE = 1000
 def nest_children(
     parents: DataFrame,
     children: DataFrame,
-    parent_key: str,
-    child_key: str,
+    keys: dict[str, str],
     order: str,
     fields: Sequence[str],
     out: str,
@@ -25,18 +24,31 @@ def nest_children(
 ) -> DataFrame:
     """Left nest of children; parents without children get an empty array.
 
-    Up to ``page_size`` children a parent is one row with ``page`` 0. A larger family
-    continues on further rows (``page`` 1, 2, …), so no array grows without bound and
-    no child is lost.
+    ``keys`` maps parent columns to child columns. Up to ``page_size`` children a parent
+    is one row with ``page`` 0. A larger family continues on further rows (``page`` 1,
+    2, …), so no array grows without bound and no child is lost.
     """
-    owned = children.filter(F.col(child_key).isNotNull())
-    ranked = positions(owned, [child_key], [order], F.floor(F.col(order) / 2**20) if bucket is None else bucket, "__pos")
+    names = list(keys)
+    owned = children
+    for parent, child in keys.items():
+        owned = owned.filter(F.col(child).isNotNull())
+        if parent != child:
+            owned = owned.withColumn("__" + parent, F.col(child))
+    owned = owned.select(
+        *[F.col(p if p == c else "__" + p).alias("__key_" + p) for p, c in keys.items()],
+        F.col(order).alias("__order"),
+        F.struct(*fields).alias("__child"),
+    )
+    group = ["__key_" + p for p in names]
+    by = F.floor(F.col("__order") / 2**20) if bucket is None else bucket
+    ranked = positions(owned, group, ["__order"], by, "__pos")
     paged = ranked.withColumn("page", F.floor(F.col("__pos") / page_size).cast("int"))
-    entry = F.struct(F.col("__pos"), F.struct(*fields).alias("child"))
-    arrays = paged.groupBy(child_key, "page").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["child"]).alias(out)
+    entry = F.struct("__pos", "__child")
+    arrays = paged.groupBy(*group, "page").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["__child"]).alias(out)
     )
-    joined = parents.join(arrays.withColumnRenamed(child_key, "__parent"), F.col(parent_key) == F.col("__parent"), "left")
+    condition = [parents[p] == arrays["__key_" + p] for p in names]
+    joined = parents.join(arrays, condition, "left")
     empty = F.array().cast(arrays.schema[out].dataType)
     return joined.select(
         *[parents[c] for c in parents.columns],
