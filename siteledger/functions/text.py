@@ -70,10 +70,9 @@ def parse_number(value: Column | str) -> Column:
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
-def to_number(value: Column | str, error_tokens: bool = False) -> Column:
-    v = _col(value)
-    missing = is_no_data(v) | is_error_token(v) if error_tokens else is_no_data(v)
-    return F.when(~missing, parse_number(v))
+def to_number(value: Column | str) -> Column:
+    """Number in a cell or token; no-data marks and error tokens are no numbers, so null."""
+    return parse_number(value)
 
 
 def to_text(value: Column | str, error_tokens: bool = False) -> Column:

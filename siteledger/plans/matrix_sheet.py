@@ -42,7 +42,7 @@ def _text(column: str) -> Column:
 
 
 def _number(column: str) -> Column:
-    return to_number(column, error_tokens=True)
+    return to_number(column)
 
 
 def _day_row() -> Column:

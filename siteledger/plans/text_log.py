@@ -1,8 +1,9 @@
 """Daily logs printed as text, one page per day.
 
 A page is one row holding its text, so the whole layout is expressions on that row
-and one explode: no shuffle and no ordered window. Item lines are found by marking
-the line starts that open an item and splitting there.
+and one explode: no shuffle and no ordered window. The item table is cut out of the
+text and split where a line opens an item. Only plain regex functions are used; they
+stay in generated code, unlike lambdas over arrays of lines.
 """
 
 from __future__ import annotations
@@ -11,28 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import roc_date
-from ..functions.text import (
-    BLANK,
-    CJK_ITEM_IDS,
-    UNITS,
-    any_of,
-    blank_to_null,
-    match_group,
-    nfkc,
-    to_number,
-    trim_wide,
-)
+from ..functions.text import BLANK, CJK_ITEM_IDS, UNITS, any_of, blank_to_null, match_group, nfkc, to_number, trim_wide
+
+# Blanks that do not end a line.
+GAP = BLANK.replace("\n", "", 1)
 
 # Anchors printed on the form, as patterns.
 PROJECT_NAME = rf"工程名稱[:：]{BLANK}*([^\t\n]+?){BLANK}*(?:\t|日期[:：]|\n)"
 LOG_DATE = rf"日期[:：]{BLANK}*(\d+){BLANK}*年{BLANK}*(\d+){BLANK}*月{BLANK}*(\d+){BLANK}*日{BLANK}*(星期.)?"
 CASE_TOTAL = rf"本案累計金額{BLANK}*([\d,]+\.?\d*)"
 DAY_TOTAL = rf"累{BLANK}*計{BLANK}*\(本日完成金額\)[\s\S]*?\({BLANK}*([\d,]+\.?\d*){BLANK}*\)"
-HEADING = rf"備{BLANK}*註"
-FOOTER = rf"累{BLANK}*計{BLANK}*\(本日完成金額\)|本案累計金額|^備{BLANK}*註[:：]"
+HEADING = rf"備{GAP}*註"
+FOOTER = rf"[^\n]*?(?:累{GAP}*計{GAP}*\(本日完成金額\)|本案累計金額)|{GAP}*備{GAP}*註[:：]"
 
-ITEM_START = rf"^(?:{any_of(CJK_ITEM_IDS)}|\d{{1,2}})(?:{BLANK}|$)"
-UNIT_TOKEN = rf"^(?:{any_of(UNITS)}|[A-Z]+\d*)$"
+TO_HEADING = rf"(?s)\A.*?{HEADING}[^\n]*(?:\n|\z)"
+FROM_FOOTER = rf"(?s)(?:\A|\n)(?:{FOOTER}).*\z"
+ITEM_OPENING = rf"\n{GAP}*(?=(?:{any_of(CJK_ITEM_IDS)}|\d{{1,2}})(?:{BLANK}|\z))"
+NAME_UNIT_REST = rf"^[^ ]+(.*?) ({any_of(UNITS)}|[A-Z]+\d*)(?: (.*))?$"
 NUMBER_FIELDS = ["unit_price", "contract_qty", "today_qty", "today_amount", "cum_qty"]
 
 
@@ -55,39 +51,25 @@ def _header(text: Column) -> list[Column]:
     ]
 
 
-def body_lines(text: Column) -> Column:
-    """Trimmed non-blank lines after the first heading line and before the next footer line."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda line: trim_wide(line))
-    place = F.array_position(F.transform(lines, lambda line: line.rlike(HEADING)), F.lit(True))
-    body = F.slice(lines, place.cast("int") + 1, F.size(lines))
-    stop = F.array_position(F.transform(body, lambda line: line.rlike(FOOTER)), F.lit(True)).cast("int")
-    kept = F.when(stop > 0, F.slice(body, 1, stop - 1)).otherwise(body)
-    return F.filter(kept, lambda line: line != "")
+def item_table(text: Column) -> Column:
+    """The text after the first heading line and before the next footer line."""
+    lines = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(lines, TO_HEADING, ""), FROM_FOOTER, "")
 
 
-def item_texts(lines: Column) -> Column:
+def item_texts(table: Column) -> Column:
     """One text per item: its opening line and the lines that continue it.
 
-    Lines hold no line break and none is blank, so an empty line marks an opening safely.
+    Lines before the first opening stay in the first piece, which is dropped.
     """
-    marked = F.transform(lines, lambda line: F.when(line.rlike(ITEM_START), F.concat(F.lit("\n"), line)).otherwise(line))
-    parts = F.split(F.concat(F.lit("\n"), F.array_join(marked, "\n")), "\n\n")
-    return F.slice(parts, 2, F.size(parts))
-
-
-def text_log_pages(pages: DataFrame) -> DataFrame:
-    """Days with their item texts. Input: file_id, page, text. Days are numbered by page."""
-    normal = pages.select("file_id", "page", nfkc("text").alias("text"))
-    return normal.select(
-        "file_id",
-        F.col("page").alias("day_pos"),
-        *_header(F.col("text")),
-        item_texts(body_lines(F.col("text"))).alias("item_texts"),
-    )
+    pieces = F.split(F.concat(F.lit("\n"), table), ITEM_OPENING)
+    return F.slice(pieces, 2, F.size(pieces))
 
 
 def text_log_days(pages: DataFrame) -> DataFrame:
-    return text_log_pages(pages).drop("item_texts")
+    """Header of each page. Input: file_id, page, text. Days are numbered by page."""
+    normal = pages.select("file_id", F.col("page").alias("day_pos"), nfkc("text").alias("text"))
+    return normal.select("file_id", "day_pos", *_header(F.col("text")))
 
 
 def text_rows(pages: DataFrame) -> DataFrame:
@@ -95,30 +77,28 @@ def text_rows(pages: DataFrame) -> DataFrame:
 
     Without a unit every fragment belongs to the name and the numbers are null.
     """
-    rows = text_log_pages(pages).select("file_id", "day_pos", F.posexplode("item_texts").alias("item_pos", "row_text"))
-    tokens = rows.select(
-        "file_id",
-        "day_pos",
-        "item_pos",
-        F.split(trim_wide("row_text"), rf"{BLANK}+").alias("tokens"),
+    normal = pages.select("file_id", F.col("page").alias("day_pos"), nfkc("text").alias("text"))
+    tables = normal.select("file_id", "day_pos", item_table(F.col("text")).alias("table"))
+    rows = tables.select("file_id", "day_pos", F.posexplode(item_texts(F.col("table"))).alias("item_pos", "row_text"))
+    flat = F.regexp_replace(trim_wide("row_text"), f"{BLANK}+", " ")
+    key = ["file_id", "day_pos", "item_pos"]
+    spaced = rows.select(*key, flat.alias("flat"))
+    # One match per row: name, unit and numbers come back on three lines.
+    parts = F.split(F.regexp_replace("flat", NAME_UNIT_REST, "$1\n$2\n$3"), "\n")
+    cut = spaced.select(*key, F.substring_index("flat", " ", 1).alias("item_no"), "flat", parts.alias("parts"))
+    has_unit = F.size("parts") == 3
+    after_id = F.substring(F.col("flat"), F.length("item_no") + 1, F.length("flat"))
+    named = cut.select(
+        *key,
+        "item_no",
+        F.when(has_unit, F.get("parts", F.lit(0))).otherwise(after_id).alias("name"),
+        F.when(has_unit, F.get("parts", F.lit(1))).alias("unit"),
+        F.when(has_unit, F.split(F.get("parts", F.lit(2)), " ")).alias("numbers"),
     )
-    unit_at = F.array_position(
-        F.transform("tokens", lambda t, i: (i > 0) & t.rlike(UNIT_TOKEN)), F.lit(True)
-    ).cast("int")
-    found = tokens.withColumn("unit_at", unit_at)
-    has_unit = F.col("unit_at") > 0
-    name_end = F.when(has_unit, F.col("unit_at") - 2).otherwise(F.size("tokens") - 1)
-    name = F.array_join(F.slice("tokens", F.lit(2), name_end), "")
-    numbers = [
-        F.when(has_unit, to_number(F.get("tokens", F.col("unit_at") + i))).alias(field)
-        for i, field in enumerate(NUMBER_FIELDS)
-    ]
-    return found.select(
-        "file_id",
-        "day_pos",
-        "item_pos",
-        F.get("tokens", F.lit(0)).alias("item_no"),
-        blank_to_null(name).alias("item_name"),
-        F.when(has_unit, F.get("tokens", F.col("unit_at") - 1)).alias("unit"),
-        *numbers,
+    return named.select(
+        *key,
+        "item_no",
+        blank_to_null(F.replace(F.col("name"), F.lit(" "), F.lit(""))).alias("item_name"),
+        "unit",
+        *[to_number(F.get("numbers", F.lit(i))).alias(field) for i, field in enumerate(NUMBER_FIELDS)],
     )

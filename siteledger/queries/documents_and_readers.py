@@ -91,8 +91,9 @@ def turn_groups(v):
 @query(
     "reader_catalog",
     """
-    SELECT vendor_key, max(file_name) AS file_name, arg_max(version, file_name) AS version
-    FROM v_uploads WHERE load_ok AND vendor_key <> '' GROUP BY vendor_key""",
+    SELECT vendor_key, file_name, version FROM (
+        SELECT *, row_number() OVER (PARTITION BY vendor_key ORDER BY file_name DESC) AS rn
+        FROM v_uploads WHERE load_ok AND vendor_key <> '') WHERE rn = 1""",
 )
 def reader_catalog(v):
     return lists.reader_catalog(v.uploads).select("vendor_key", "file_name", "version")

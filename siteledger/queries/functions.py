@@ -74,7 +74,7 @@ def fn_to_num(v):
         },
         F.format_number("o_totalprice", 2),
     )
-    return _orders(v).select("o_orderkey", text.to_number(raw, error_tokens=True).alias("number"))
+    return _orders(v).select("o_orderkey", text.to_number(raw).alias("number"))
 
 
 @query(

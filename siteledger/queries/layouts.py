@@ -95,11 +95,19 @@ def text_rows(v):
     return text_log.text_rows(v.pages)
 
 
-@query("text_log_documents")
+@query(
+    "text_log_documents",
+    """
+    SELECT doc_id AS file_id, CAST(NULL AS VARCHAR) AS log_date_raw, CAST(count(*) FILTER (
+               regexp_matches(line, '^[\\s\u00a0\u3000]*[0-9]{1,2}([\\s\u00a0\u3000]|$)')) AS BIGINT) AS n_items
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""",
+)
 def text_log_documents(v):
     """Arbitrary prose read as log pages: whole texts, mostly without items."""
     pages = v.documents.select(F.col("doc_id").alias("file_id"), F.lit(1).cast("bigint").alias("page"), "text")
-    return text_log.text_log_pages(pages).select("file_id", "project_name", "log_date_raw", F.size("item_texts").alias("n_items"))
+    counts = text_log.text_rows(pages).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_items"))
+    days = text_log.text_log_days(pages).join(counts, "file_id", "left")
+    return days.select("file_id", "log_date_raw", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 
 # Form sheets -----------------------------------------------------------------

@@ -190,7 +190,7 @@ VIEWS: dict[str, str] = {
                CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
         FROM lineitem GROUP BY ALL""",
     "v_matrix_days": """
-        SELECT file_id, day_no, 2 * day_no + 7 AS day_pos, DATE '1992-01-01' + CAST(day_no AS INTEGER) AS day,
+        SELECT file_id, day_no, 2 * day_no + 7 AS day_pos, DATE '1992-01-01' + CAST(day_no + 10000 AS INTEGER) AS day,
                CAST(sum(cents) AS BIGINT) AS cents
         FROM v_matrix GROUP BY ALL HAVING day_no % 5 <> 0""",
     "v_matrix_items": """

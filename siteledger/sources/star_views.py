@@ -20,6 +20,7 @@ AS_OF = "1996-06-03T00:00:00+08:00"
 EPOCH = "1992-01-01"
 DAY_ITEMS = 40
 PAGE_STEP = 1_000_000
+MATRIX_SHIFT = 10_000
 
 
 def lit_case(selector: Column, values: dict[int, Column | str | None], default: Column | str) -> Column:
@@ -440,7 +441,7 @@ class StarViews:
 
     @cached_property
     def matrix_cells(self) -> DataFrame:
-        """A project's days as one matrix sheet with a head sheet."""
+        """A project's days, moved into the serials the layout accepts, with a head sheet."""
         c = self._cell
         row = F.col("day_no") * 2 + 7
         so = F.lit("so")
@@ -460,7 +461,7 @@ class StarViews:
                 self._at(row + 1, F.col("l_linenumber") + column_number("AI"), F.col("qty") * 2),
             )).alias("c"),
         ).select("file_id", "sheet", "c.*")
-        date = F.date_add(F.lit(EPOCH).cast("date"), F.col("day_no").cast("int"))
+        date = F.date_add(F.lit(EPOCH).cast("date"), (F.col("day_no") + MATRIX_SHIFT).cast("int"))
         per_day = per_item.groupBy("file_id", "day_no").agg(F.sum("cents").alias("cents"))
         frame = self._cells(
             per_day,
