@@ -78,35 +78,46 @@ def form_days(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     )
 
 
-def form_items(cells: DataFrame) -> DataFrame:
-    """Item rows from row 10 down to the end anchor, or to the first other text after an item."""
-    columns = [column_number(c) for c in ["A", *ITEM_COLUMNS.values()]]
-    used = day_cells(cells).filter((F.col("row") >= FIRST_ITEM_ROW) & F.col("col").isin(columns))
-    rows = used.groupBy(*SHEET, "row").agg(
-        at("A", "num").alias("id_num"),
-        at("A", "text").alias("id_text"),
-        *[at(letters, "text").alias(name) for name, letters in ITEM_COLUMNS.items()],
-    )
-    rows = rows.withColumn("id", trim_wide(F.coalesce("id_text", F.lit(""))))
-    rows = rows.withColumn("is_item", is_sheet_item_id(F.col("id_num"), F.col("id_text")))
-    rows = rows.withColumn("is_anchor", F.col("id").startswith(END_ANCHOR))
+def item_bounds(cells: DataFrame) -> DataFrame:
+    """Row where each sheet's item table stops, null when it runs to the end.
 
-    # The first anchor ends the table; so does the first other text below some item.
-    marks = rows.filter(F.col("id") != "").select(*SHEET, "row", "is_item", "is_anchor")
+    The first anchor ends the table, and so does the first other text below some item.
+    Only column A is read, and every step is a minimum that combines map-side.
+    """
+    ids = cells.filter((F.col("row") >= FIRST_ITEM_ROW) & (F.col("col") == 0))
+    shown = trim_wide("text")
+    marks = ids.filter(shown != "").select(
+        *SHEET,
+        "row",
+        is_sheet_item_id(F.col("num"), F.col("text")).alias("is_item"),
+        shown.startswith(END_ANCHOR).alias("is_anchor"),
+    )
     heads = marks.groupBy(*SHEET).agg(
         F.min(F.when(F.col("is_item"), F.col("row"))).alias("first_item"),
         F.min(F.when(F.col("is_anchor"), F.col("row"))).alias("anchor"),
     )
     others = marks.filter(~F.col("is_item") & ~F.col("is_anchor")).join(heads, SHEET)
     texts = others.filter(F.col("row") > F.col("first_item")).groupBy(*SHEET).agg(F.min("row").alias("text_stop"))
-    bounds = heads.join(texts, SHEET, "left").select(*SHEET, F.least("anchor", "text_stop").alias("stop"))
+    return heads.join(texts, SHEET, "left").select(*SHEET, F.least("anchor", "text_stop").alias("stop"))
+
 
-    items = rows.filter("is_item").join(bounds, SHEET).filter(F.col("stop").isNull() | (F.col("row") < F.col("stop")))
+def form_items(cells: DataFrame) -> DataFrame:
+    """Item rows from row 10 down to the end of the table."""
+    columns = [column_number(c) for c in ["A", *ITEM_COLUMNS.values()]]
+    days = day_cells(cells)
+    used = days.filter((F.col("row") >= FIRST_ITEM_ROW) & F.col("col").isin(columns))
+    rows = used.groupBy(*SHEET, "row").agg(
+        at("A", "num").alias("id_num"),
+        at("A", "text").alias("id_text"),
+        *[at(letters, "text").alias(name) for name, letters in ITEM_COLUMNS.items()],
+    )
+    found = rows.filter(is_sheet_item_id(F.col("id_num"), F.col("id_text"))).join(item_bounds(days), SHEET)
+    items = found.filter(F.col("stop").isNull() | (F.col("row") < F.col("stop")))
     return items.select(
         "file_id",
         _day_pos(),
         (F.col("row") - FIRST_ITEM_ROW).alias("item_pos"),
-        F.col("id").alias("item_no"),
+        trim_wide("id_text").alias("item_no"),
         to_text("item_name").alias("item_name"),
         to_text("unit").alias("unit"),
         to_number("unit_price").alias("unit_price"),
