@@ -42,11 +42,16 @@ def local_now(as_of: datetime | str | None) -> datetime:
     return moment.astimezone(TAIPEI).replace(tzinfo=None)
 
 
-def deadline(period: Column | str, day: Column | str) -> Column:
-    p = _col(period)
+def deadline_day(day: Column | str) -> Column:
+    """Two digits of a settlement day held within 1..28; no day means the first."""
     d = _col(day).cast("int")
     chosen = F.when(d.isNull() | (d == 0), F.lit(1)).otherwise(d)
-    return F.when(p.rlike(PERIOD), F.concat(p, F.lit("-"), pad2(F.least(F.greatest(chosen, F.lit(1)), F.lit(28)))))
+    return pad2(F.least(F.greatest(chosen, F.lit(1)), F.lit(28)))
+
+
+def deadline(period: Column | str, day: Column | str) -> Column:
+    p = _col(period)
+    return F.when(p.rlike(PERIOD), F.concat(p, F.lit("-"), deadline_day(day)))
 
 
 def period_of(iso_date: Column | str) -> Column:
@@ -56,7 +61,7 @@ def period_of(iso_date: Column | str) -> Column:
 
 
 def month_of(moment: Column | str) -> Column:
-    return F.date_format(_col(moment), "yyyy-MM")
+    return F.substring(F.to_date(_col(moment)).cast("string"), 1, 7)
 
 
 def month_number(day: Column) -> Column:
@@ -70,7 +75,7 @@ def base_month(start: Column, created: Column, as_of: datetime | str | None = No
 
 
 def period_text(month: Column) -> Column:
-    return F.concat(F.lpad(F.floor(month / 12).cast("string"), 4, "0"), F.lit("-"), pad2(month % 12 + 1))
+    return F.concat(F.lpad(((month - month % 12) / 12).cast("int").cast("string"), 4, "0"), F.lit("-"), pad2(month % 12 + 1))
 
 
 def excel_date(serial: Column | str) -> Column:

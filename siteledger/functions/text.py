@@ -154,8 +154,10 @@ def is_inside_root(path: Column | str) -> Column:
         )
 
     left = F.aggregate(F.split(p, "/"), root, step)
-    inside = ~p.startswith("/") & (F.size(left) > 0) & ~F.try_element_at(left, F.lit(1)).startswith("..")
-    return F.coalesce(inside, F.lit(False))
+    walked = ~p.startswith("/") & (F.size(left) > 0) & ~F.try_element_at(left, F.lit(1)).startswith("..")
+    # Only paths that step up need the walk; for the rest the first real part decides.
+    plain = p.rlike(r"^(?:\./+)*+(?!\.\.|\.$)[^/]")
+    return F.coalesce(F.when(p.rlike(r"(?:^|/)\.\.(?:/|$)"), walked).otherwise(plain), F.lit(False))
 
 
 def column_index(letters: Column | str) -> Column:

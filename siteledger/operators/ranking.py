@@ -10,6 +10,7 @@ bucket must not be null.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +19,45 @@ from pyspark.sql.window import Window as W
 BUCKET = "__bucket"
 
 
-def _with_offsets(base: DataFrame, inner: DataFrame, keys: Sequence[str], total: Column, local: str, out: str):
-    totals = base.groupBy(*keys, BUCKET).agg(total.alias("__total"))
-    before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, BUCKET, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
-    joined = inner.join(offsets, [*keys, BUCKET])
-    return joined.withColumn(out, F.col(local) + F.col("__offset")).drop(BUCKET, "__offset", local)
+def _with_offsets(
+    base: DataFrame, inner: DataFrame, keys: Sequence[str], bucket: str, total: Column, local: str, out: str
+) -> DataFrame:
+    """Add the totals of earlier buckets to a count made inside each bucket."""
+    totals = base.groupBy(*keys, bucket).agg(total.alias("__total"))
+    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, bucket, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    joined = inner.join(offsets, [*keys, bucket])
+    return joined.withColumn(out, F.col(local) + F.col("__offset")).drop("__offset", local)
+
+
+@dataclass(frozen=True)
+class Place:
+    """A position to compute: within which keys, in which order, spread over which buckets."""
+
+    keys: Sequence[str]
+    order: Sequence[Column | str]
+    bucket: Column
+
+
+def positions_of(df: DataFrame, places: dict[str, Place]) -> DataFrame:
+    """0-based positions of each row within several groupings.
+
+    Bucket totals are all taken from the input itself, so the input is read once more per
+    grouping; chaining single calls would double the reads with every call.
+    """
+    buckets = {name: f"{BUCKET}_{name}" for name in places}
+    base = df.withColumns({buckets[name]: place.bucket for name, place in places.items()})
+    out = base
+    for name, place in places.items():
+        inside = W.partitionBy(*place.keys, buckets[name]).orderBy(*place.order)
+        inner = out.withColumn("__local", F.row_number().over(inside) - 1)
+        out = _with_offsets(base, inner, place.keys, buckets[name], F.count(F.lit(1)), "__local", name)
+    return out.drop(*buckets.values())
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, out: str) -> DataFrame:
     """0-based position of each row within its group."""
-    base = df.withColumn(BUCKET, bucket)
-    inside = W.partitionBy(*keys, BUCKET).orderBy(*order)
-    inner = base.withColumn("__local", F.row_number().over(inside) - 1)
-    return _with_offsets(base, inner, keys, F.count(F.lit(1)), "__local", out)
+    return positions_of(df, {out: Place(keys, order, bucket)})
 
 
 def running_count(
@@ -41,7 +67,7 @@ def running_count(
     base = df.withColumn(BUCKET, bucket).withColumn("__flag", F.coalesce(flag, F.lit(False)).cast("bigint"))
     inside = W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     inner = base.withColumn("__local", F.sum("__flag").over(inside)).drop("__flag")
-    return _with_offsets(base, inner, keys, F.sum("__flag"), "__local", out)
+    return _with_offsets(base, inner, keys, BUCKET, F.sum("__flag"), "__local", out).drop(BUCKET)
 
 
 def previous_value(

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import REAL_PERIOD, deadline, local_now, month_number, period_text
+from ..functions.dates import REAL_PERIOD, deadline_day, local_now, month_number, period_text
 from ..sources.lists import settlement_day
 
 MAX_MONTHS = 1200
@@ -35,16 +35,10 @@ def period_spine(projects: DataFrame, as_of: datetime | str | None = None) -> Da
 
 
 def submitted_months(ledger: DataFrame) -> DataFrame:
-    """The months each project has a monthly record for, as one bounded array per project.
-
-    Duplicates collapse map-side before the shuffle. Only real months pass, so an array
-    cannot exceed the 120,000 months of years 0000 to 9999 however often one project
-    appears in the ledger.
-    """
+    """(project_id, month) of monthly records, repeats included. Periods that are no month drop out."""
     monthly = ledger.filter((F.col("type") == "monthly") & F.col("period").rlike(REAL_PERIOD))
     year, month = F.substring("period", 1, 4).cast("int"), F.substring("period", 6, 2).cast("int")
-    distinct = monthly.select("project_id", (year * 12 + month - 1).alias("month")).distinct()
-    return distinct.groupBy("project_id").agg(F.collect_list("month").alias("months"))
+    return monthly.select("project_id", (year * 12 + month - 1).alias("month"))
 
 
 def submission_status(
@@ -52,22 +46,24 @@ def submission_status(
 ) -> DataFrame:
     """submitted, overdue or pending for each due month of each project.
 
-    The join runs on one row per project; months are generated after it, so the spine
-    itself is never shuffled. A month turns overdue at 00:00 Taipei time on its deadline.
+    Due months and submitted months meet in one aggregate by (project, month) instead of
+    a join: one shuffle of fixed-width rows, combined before it, so a project with a
+    third of all records costs no more than its months. A month turns overdue at 00:00
+    Taipei time on its deadline.
     """
     now = local_now(as_of)
-    day = settlement_day(settings).select("settlement_day").scalar()
-    joined = project_months(projects, as_of).join(submitted_months(ledger), "project_id", "left")
-    spine = joined.select("project_id", "months", F.explode(F.sequence("first_month", "last_month")).alias("month"))
-    due = spine.select(
-        "project_id",
-        period_text(F.col("month")).alias("period"),
-        F.coalesce(F.array_contains("months", F.col("month")), F.lit(False)).alias("submitted"),
-        day.alias("settlement_day"),
-    ).withColumn("deadline", deadline("period", "settlement_day"))
+    day = settlement_day(settings).select(deadline_day("settlement_day")).scalar()
+    spans = project_months(projects, as_of)
+    due = spans.select("project_id", F.explode(F.sequence("first_month", "last_month")).alias("month"))
+    seen = due.withColumns({"due": F.lit(1), "done": F.lit(0)}).unionByName(
+        submitted_months(ledger).withColumns({"due": F.lit(0), "done": F.lit(1)})
+    )
+    grid = seen.groupBy("project_id", "month").agg(F.max("due").alias("due"), F.max("done").alias("done"))
+    periods = grid.filter("due = 1").select("project_id", period_text(F.col("month")).alias("period"), "done")
+    dated = periods.withColumn("deadline", F.concat("period", F.lit("-"), day))
     status = (
-        F.when(F.col("submitted"), "submitted")
+        F.when(F.col("done") == 1, "submitted")
         .when(F.col("deadline") <= F.lit(now.date().isoformat()), "overdue")
         .otherwise("pending")
     )
-    return due.select("project_id", "period", "deadline", status.alias("status"))
+    return dated.select("project_id", "period", "deadline", status.alias("status"))

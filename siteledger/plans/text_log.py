@@ -32,14 +32,12 @@ NAME_UNIT_REST = rf"^[^ ]+(.*?) ({any_of(UNITS)}|[A-Z]+\d*)(?: (.*))?$"
 NUMBER_FIELDS = ["unit_price", "contract_qty", "today_qty", "today_amount", "cum_qty"]
 
 
-def _header(text: Column) -> list[Column]:
+def _header(date: Column) -> list[Column]:
     def date_part(group: int) -> Column:
-        return match_group(text, LOG_DATE, group)
+        return match_group(date, LOG_DATE, group)
 
-    total = F.coalesce(match_group(text, CASE_TOTAL, 1), match_group(text, DAY_TOTAL, 1))
     nothing = F.lit(None)
     return [
-        trim_wide(match_group(text, PROJECT_NAME, 1)).alias("project_name"),
         roc_date(date_part(1), date_part(2), date_part(3)).alias("log_date_raw"),
         date_part(4).alias("weekday"),
         nothing.cast("string").alias("weather_am"),
@@ -47,7 +45,7 @@ def _header(text: Column) -> list[Column]:
         nothing.cast("double").alias("planned_pct"),
         nothing.cast("double").alias("actual_pct"),
         nothing.cast("int").alias("worker_total"),
-        to_number(total).alias("cum_amount"),
+        to_number("total").alias("cum_amount"),
     ]
 
 
@@ -69,7 +67,16 @@ def item_texts(table: Column) -> Column:
 def text_log_days(pages: DataFrame) -> DataFrame:
     """Header of each page. Input: file_id, page, text. Days are numbered by page."""
     normal = pages.select("file_id", F.col("page").alias("day_pos"), nfkc("text").alias("text"))
-    return normal.select("file_id", "day_pos", *_header(F.col("text")))
+    # The whole text is searched once per field; the date's parts come from its short match.
+    text = F.col("text")
+    found = normal.select(
+        "file_id",
+        "day_pos",
+        trim_wide(match_group(text, PROJECT_NAME, 1)).alias("project_name"),
+        F.regexp_extract(text, LOG_DATE, 0).alias("date"),
+        F.coalesce(match_group(text, CASE_TOTAL, 1), match_group(text, DAY_TOTAL, 1)).alias("total"),
+    )
+    return found.select("file_id", "day_pos", "project_name", *_header(F.col("date")))
 
 
 def text_rows(pages: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def submission_history(v):
     FROM v_ledger WHERE type = 'monthly' GROUP BY project_id""",
 )
 def submitted_months(v):
-    months = status.submitted_months(v.ledger)
-    first = status.period_text(F.array_min("months"))
-    return months.select("project_id", F.size("months").cast("bigint").alias("n_months"), first.alias("first_period"))
+    months = status.submitted_months(v.ledger).distinct()
+    counted = months.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_months"), F.min("month").alias("first"))
+    return counted.select("project_id", "n_months", status.period_text(F.col("first")).alias("first_period"))
 
 
 @query(

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import month_of
 from ..operators import quality
 from ..plans import report
+from ..sources.star_views import PAGE_STEP
 from .registry import query
 
+# Sheets of one day are numbered PAGE_STEP apart; a bucket spans 64 days.
+BUCKET = 64 * PAGE_STEP
+
 
 @query(
     "submission_intake",
@@ -27,7 +32,7 @@ def submission_intake(v):
 def _requests(v):
     form = F.when(F.col("l_partkey") % 9 == 0, F.lit("2026-13")).when(
         F.col("l_partkey") % 9 == 1, F.date_format("l_shipdate", "yyyy/MM")
-    ).otherwise(F.date_format("l_shipdate", "yyyy-MM"))
+    ).otherwise(month_of("l_shipdate"))
     kind = F.when(F.col("l_returnflag") == "R", "supervision").when(F.col("l_returnflag") == "A", "other")
     return v.table("lineitem").select(
         F.col("l_orderkey").alias("project_id"),
@@ -66,7 +71,7 @@ def artifact_paths(v):
     return v.table("lineitem").select(
         key.alias("project_id"),
         "l_linenumber",
-        report.report_path(key, F.date_format("l_shipdate", "yyyy-MM"), F.lit("monthly"), stamp).alias("report_path"),
+        report.report_path(key, month_of("l_shipdate"), F.lit("monthly"), stamp).alias("report_path"),
         report.upload_path(key, stamp, sent).alias("upload_path"),
     )
 
@@ -122,8 +127,8 @@ def report_days(v):
 
 @query("sheet_names", "SELECT submission_id, day_pos, sheet_name FROM v_sheets")
 def sheet_names(v):
-    kept = report.report_days(v.report_submissions, v.days.select("file_id", "day_pos", "log_date_raw"))
-    return report.with_sheet_names(kept).select("submission_id", "day_pos", "sheet_name")
+    named = report.with_sheet_names(v.days.select("file_id", "day_pos", "log_date_raw"), BUCKET)
+    return report.report_days(v.report_submissions, named).select("submission_id", "day_pos", "sheet_name")
 
 
 @query(
@@ -133,7 +138,7 @@ def sheet_names(v):
     FROM v_subs s LEFT JOIN v_sheets x ON x.submission_id = s.submission_id""",
 )
 def report_sheets(v):
-    sheets = report.report_sheets(v.report_submissions, v.days)
+    sheets = report.report_sheets(v.report_submissions, v.days, BUCKET)
     return sheets.select("submission_id", "sheet_name", "log_date_raw")
 
 
@@ -158,7 +163,7 @@ def report_project_header(v):
     """
     WITH base AS (SELECT s.submission_id, coalesce(x.sheet_name, '監造報表') AS sheet_name, x.*  EXCLUDE (submission_id, sheet_name, project_id),
                          p.name AS head_name, p.project_no, p.start_date, p.contract_completion_date
-                  FROM v_subs s LEFT JOIN v_sheets x ON x.submission_id = s.submission_id
+                  FROM v_reportable s LEFT JOIN v_sheets x ON x.submission_id = s.submission_id
                   LEFT JOIN v_projects p ON p.id = s.project_id)
     SELECT submission_id, sheet_name, unnest([0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 12, 13]) AS pos,
            unnest(['本日天氣　上午', '下午', '填報日期', '工程名稱', '工程編號', '契約工期(天)', '開工日期', '契約竣工日',
@@ -171,14 +176,14 @@ def report_project_header(v):
     FROM base""",
 )
 def report_header_block(v):
-    sheets = report.report_sheets(v.report_submissions, v.days)
+    sheets = report.report_sheets(report.reportable(v.report_submissions), v.days, BUCKET)
     block = report.report_header_block(sheets, report.report_project_header(v.projects))
     # Amounts are compared as numbers in report_project_header.
     return block.filter(~F.col("label").isin("契約金額", "決標金額"))
 
 
 def _lines(v):
-    sheets = report.report_sheets(v.report_submissions, v.days.drop("worker_total"))
+    sheets = report.report_sheets(report.reportable(v.report_submissions), v.days.drop("worker_total"), BUCKET)
     return report.report_lines(sheets, v.items.drop("log_date_raw"))
 
 

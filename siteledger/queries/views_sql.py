@@ -158,6 +158,8 @@ VIEWS: dict[str, str] = {
         LEFT JOIN v_projects p ON p.id = k.project_id
         LEFT JOIN v_vendors v ON v.id = p.vendor_id
         LEFT JOIN v_readers r ON r.vendor_key = v.name""",
+    "v_reportable": """
+        SELECT * FROM v_subs WHERE vendor_name IS NOT NULL AND reader_key IS NOT NULL AND parse_error IS NULL""",
     "v_kept": """
         SELECT s.submission_id, s.project_id, s.period, s.type, d.*
         FROM v_subs s JOIN v_days d ON d.file_id = s.file_id
@@ -174,7 +176,7 @@ VIEWS: dict[str, str] = {
                coalesce(i.today_amount,
                         floor(abs(i.unit_price * i.today_qty) * 100 + 0.5 + 2.220446049250313e-16) / 100) AS today_amount,
                i.cum_qty
-        FROM v_sheets s JOIN v_items i ON i.file_id = s.file_id AND i.day_pos = s.day_pos""",
+        FROM v_sheets s JOIN v_reportable r ON r.submission_id = s.submission_id JOIN v_items i ON i.file_id = s.file_id AND i.day_pos = s.day_pos""",
     "v_grid": """
         SELECT vec_id // 16 AS file_id, vec_id % 16 AS row, col, (vec_id % 16 + col) AS place,
                CAST(floor(CAST(x AS DOUBLE) * 1000) AS DOUBLE) AS whole

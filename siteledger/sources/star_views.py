@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import month_of
 from ..functions.text import column_number
 from ..operators.ranking import positions
 
@@ -134,7 +135,7 @@ class StarViews:
         return self.table("lineitem").select(
             (key * 10 + F.col("l_linenumber")).alias("id"),
             key.alias("project_id"),
-            F.date_format("l_shipdate", "yyyy-MM").alias("period"),
+            month_of("l_shipdate").alias("period"),
             F.when(F.col("l_returnflag") == "R", "supervision").otherwise("monthly").alias("type"),
             F.when(part % 7 == 0, F.lit("../secret.txt")).when(part % 11 != 0, log).alias("daily_log_path"),
             F.lit(None).cast("string").alias("official_doc_path"),
@@ -297,7 +298,7 @@ class StarViews:
         """One submission per project, month and type found in the ledger or at the project's start."""
         shipped = self.ledger.select("project_id", "period", "type")
         started = self.projects.select(
-            F.col("id").alias("project_id"), F.date_format("start_date", "yyyy-MM").alias("period"), F.lit("monthly").alias("type")
+            F.col("id").alias("project_id"), month_of("start_date").alias("period"), F.lit("monthly").alias("type")
         )
         keys = shipped.unionByName(started).distinct()
         vendor = self.projects.join(

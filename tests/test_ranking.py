@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from siteledger.operators.nesting import nest_children
-from siteledger.operators.ranking import latest, positions, previous_value, running_count
+from siteledger.operators.ranking import Place, latest, positions, positions_of, previous_value, running_count
 
 
 def skewed(spark, n=900):
@@ -69,3 +69,16 @@ def test_nesting_pages_keep_every_child(spark):
     nested = nest_children(parents, kids, {"id": "p"}, "id", ["id", "name"], "kids", page_size=10)
     got = {(r.id, r.page): [k.id for k in r.kids] for r in nested.collect()}
     assert got == {(1, 0): list(range(10)), (1, 1): list(range(10, 20)), (1, 2): list(range(20, 25)), (2, 0): [99], (3, 0): []}
+
+
+def test_several_positions_at_once(spark):
+    rows, df = skewed(spark)
+    places = {
+        "in_key": Place(["k"], ["pos"], F.floor(F.col("pos") / 64)),
+        "in_flag": Place(["flag"], [F.desc("pos")], -F.floor(F.col("pos") / 50)),
+    }
+    got = {(r.k, r.pos): (r.in_key, r.in_flag) for r in positions_of(df, places).collect()}
+    by_key = {(k, r[1]): i for k, group in by_group(rows).items() for i, r in enumerate(group)}
+    flagged = {f: sorted((r for r in rows if r[2] == f), key=lambda r: -r[1]) for f in (True, False)}
+    by_flag = {(r[0], r[1]): i for group in flagged.values() for i, r in enumerate(group)}
+    assert got == {key: (by_key[key], by_flag[key]) for key in by_key}
