@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,24 +92,34 @@ def _chained_starts(started: DataFrame) -> DataFrame:
     return state.drop("state")
 
 
-def merge_fill(cells: DataFrame, sheets: DataFrame, merges: DataFrame, overlapping: bool = True) -> DataFrame:
+def merge_fill(
+    cells: DataFrame,
+    sheets: DataFrame,
+    merges: DataFrame,
+    overlapping: bool = True,
+    columns: Sequence[int] | None = None,
+) -> DataFrame:
     """Copy the start value of each merged range to its empty cells.
 
-    Cells that hold a value keep it; where ranges overlap the earliest one wins. With
+    Cells that hold a value keep it and pass through without a shuffle; only the covered
+    cells are checked against them. Where ranges overlap the earliest one wins. With
     ``overlapping=False`` the caller vouches that ranges are disjoint, as the workbook
-    format requires, and the look for chained ranges is skipped.
+    format requires, and the look for chained ranges is skipped. ``columns`` names the
+    columns a layout reads; others are dropped before the work.
     """
     ranges = _clipped(merges, sheets)
     at_start = cells.select(*SHEET, F.col("row").alias("r0"), F.col("col").alias("c0"), "num", "text")
     started = ranges.join(at_start, [*SHEET, "r0", "c0"], "left" if overlapping else "inner")
     if overlapping:
         started = _chained_starts(started)
-    covered = _covered(started.filter(F.col("text").isNotNull())).select(
-        *CELL, (F.col("merge_seq") + 1).alias("prio"), "num", "text"
-    )
-    own = cells.select(*CELL, F.lit(0).alias("prio"), "num", "text")
-    first = own.unionByName(covered).groupBy(*CELL).agg(F.min_by(F.struct("num", "text"), "prio").alias("v"))
-    return first.select(*CELL, "v.num", "v.text")
+    own = cells.select(*CELL, "num", "text")
+    covered = _covered(started.filter(F.col("text").isNotNull()))
+    if columns is not None:
+        wanted = F.col("col").isin(list(columns))
+        own, covered = own.filter(wanted), covered.filter(wanted)
+    empty = covered.join(own.select(*CELL), CELL, "left_anti")
+    first = empty.groupBy(*CELL).agg(F.min_by(F.struct("num", "text"), "merge_seq").alias("v"))
+    return own.unionByName(first.select(*CELL, "v.num", "v.text"))
 
 
 def at(col: str | int, field: str) -> Column:

@@ -38,6 +38,10 @@ ITEM_COLUMNS = {
     "unit_price": "Y",
 }
 EXTRA_COLUMNS = {"trade": "A", "headcount": "E", "machine": "L", "machine_qty": "O"}
+# Every column the layout reads; merged ranges need filling in these only.
+USED_COLUMNS = sorted(
+    {column_number(c) for c in [*ITEM_COLUMNS.values(), *EXTRA_COLUMNS.values(), *[a[1] for a in HEADER_CELLS.values()]]}
+)
 END_ANCHOR = "營造業專業"
 SECTION_TITLE = "^[一二三四五六七八九十]、"
 

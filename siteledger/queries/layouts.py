@@ -115,7 +115,7 @@ def text_log_documents(v):
 
 def _form_cells(v):
     clean = cell_ops.clean_cells(v.form_cells)
-    return cell_ops.merge_fill(clean, v.form_sheets, v.form_merges, overlapping=False)
+    return cell_ops.merge_fill(clean, v.form_sheets, v.form_merges, overlapping=False, columns=form_sheet.USED_COLUMNS)
 
 
 @query("day_sheets", "SELECT file_id, '(' || day_pos || ')' AS sheet, day_pos FROM v_day_totals")

@@ -65,6 +65,12 @@ def test_disjoint_shortcut_agrees(spark):
     assert grid(merge_fill(df, sheets(spark), ranges)) == grid(merge_fill(df, sheets(spark), ranges, overlapping=False))
 
 
+def test_only_wanted_columns_are_filled(spark):
+    df = clean_cells(cells(spark, [(0, 0, "n", 1), (0, 3, "n", 2), (1, 1, "s", "x")]))
+    filled = merge_fill(df, sheets(spark), merges(spark, [(0, 0, 1, 2)]), columns=[1, 3])
+    assert grid(filled) == {(0, 1): 1, (0, 3): 2, (1, 1): "x"}
+
+
 def fill_loop(values, ranges, n_rows, n_cols):
     """The same rule as a loop over one sheet."""
     out = dict(values)
