@@ -63,24 +63,25 @@ def project_readers(project_vendors: DataFrame, readers: DataFrame) -> DataFrame
     return project_vendors.join(usable, "vendor_name", "left")
 
 
-def reader_overview(vendors: DataFrame, readers: DataFrame) -> DataFrame:
-    """All vendors with the state of their reader, by name."""
+def reader_states(vendors: DataFrame, readers: DataFrame) -> DataFrame:
+    """All vendors with the state of their reader."""
     usable = installed_readers(readers).select("vendor_key", "version", "target_fields", "installed_at")
     shown = F.coalesce(blank_to_null(F.array_join("target_fields", "、")), F.lit("-"))
-    return (
-        vendors.join(usable, vendors["name"] == usable["vendor_key"], "left")
-        .select(
-            vendors["id"].alias("vendor_id"),
-            vendors["name"].alias("vendor_name"),
-            usable["vendor_key"].isNotNull().alias("installed"),
-            "version",
-            shown.alias("target_fields"),
-            "installed_at",
-        )
-        .orderBy("vendor_name")
+    return vendors.join(usable, vendors["name"] == usable["vendor_key"], "left").select(
+        vendors["id"].alias("vendor_id"),
+        vendors["name"].alias("vendor_name"),
+        usable["vendor_key"].isNotNull().alias("installed"),
+        "version",
+        shown.alias("target_fields"),
+        "installed_at",
     )
 
 
+def reader_overview(vendors: DataFrame, readers: DataFrame) -> DataFrame:
+    """The same, sorted by vendor name."""
+    return reader_states(vendors, readers).orderBy("vendor_name")
+
+
 def reader_orphans(vendors: DataFrame, readers: DataFrame) -> DataFrame:
     """Readers whose key is no vendor's name, or can never be one."""
     catalog = reader_catalog(readers).select("vendor_key", "version", "target_fields")
@@ -94,7 +95,7 @@ def reader_overview_all(vendors: DataFrame, readers: DataFrame) -> DataFrame:
     orphans = reader_orphans(vendors, readers).select(
         F.lit("orphan").alias("kind"), "vendor_key", "version", shown.alias("target_fields")
     )
-    known = reader_overview(vendors, readers).withColumn("kind", F.lit("vendor"))
+    known = reader_states(vendors, readers).withColumn("kind", F.lit("vendor"))
     return known.unionByName(orphans, allowMissingColumns=True)
 
 

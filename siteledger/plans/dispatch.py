@@ -18,15 +18,25 @@ DAY_KEY = ["file_id", "day_pos"]
 
 @dataclass(frozen=True)
 class FileInputs:
-    """Tables a layout may read: filled cells, sheet list, page texts."""
+    """Tables a layout may read: filled cells, sheet list, page texts.
+
+    A table that carries a ``layout`` column (stored partitioned by it, which is known at
+    upload) is pruned by a filter; any other table is joined to the list of files.
+    """
 
     cells: DataFrame
     sheets: DataFrame
     pages: DataFrame
 
-    def of(self, files: DataFrame) -> FileInputs:
-        ids = files.select("file_id")
-        return FileInputs(*[t.join(ids, "file_id", "left_semi") for t in (self.cells, self.sheets, self.pages)])
+    def of(self, files: DataFrame, layout: str) -> FileInputs:
+        ids = files.filter(F.col("layout") == layout).select("file_id")
+
+        def part(table: DataFrame) -> DataFrame:
+            if "layout" in table.columns:
+                return table.filter(F.col("layout") == layout).drop("layout")
+            return table.join(ids, "file_id", "left_semi")
+
+        return FileInputs(part(self.cells), part(self.sheets), part(self.pages))
 
 
 @dataclass(frozen=True)
@@ -109,7 +119,7 @@ def extract_all(
     """
     sound = files.filter(F.col("parse_error").isNull()) if "parse_error" in files.columns else files
     parts = [
-        layout(inputs.of(sound.filter(F.col("layout") == name)))
+        layout(inputs.of(sound, name))
         for name, layout in (LAYOUTS if layouts is None else layouts).items()
     ]
 

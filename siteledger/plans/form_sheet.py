@@ -57,7 +57,9 @@ def day_sheets(sheets: DataFrame) -> DataFrame:
 
 
 def _day_pos() -> Column:
-    return F.regexp_extract("sheet", DAY_SHEET, 1).try_cast("bigint").alias("day_pos")
+    """Number in the sheet name; one too long for a bigint sorts last instead of getting lost."""
+    number = F.regexp_extract("sheet", DAY_SHEET, 1).try_cast("bigint")
+    return F.coalesce(number, F.lit(2**63 - 1)).alias("day_pos")
 
 
 def form_days(cells: DataFrame, sheets: DataFrame) -> DataFrame:

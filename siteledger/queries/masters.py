@@ -45,6 +45,21 @@ def period_spine(v):
     return status.period_spine(v.projects, AS_OF)
 
 
+@query(
+    "status_display",
+    f"""
+    WITH spine AS (
+        SELECT id AS project_id, strftime(m, '%Y-%m') AS period
+        FROM v_projects, unnest(generate_series(date_trunc('month', start_date), TIMESTAMP '1996-06-01', INTERVAL 1 MONTH)) AS t(m)),
+    done AS (SELECT DISTINCT project_id, period FROM v_ledger WHERE type = 'monthly')
+    SELECT s.project_id, s.period,
+           CASE WHEN d.period IS NOT NULL THEN '已繳' WHEN s.period || '-05' <= '{AS_OF_DAY}' THEN '未繳' ELSE '未到期' END AS status_label
+    FROM spine s LEFT JOIN done d ON d.project_id = s.project_id AND d.period = s.period""",
+)
+def status_display(v):
+    return masters.status_display(submission_status(v)).select("project_id", "period", "status_label")
+
+
 @query("submission_history", "SELECT id, project_id, period, type FROM v_ledger")
 def submission_history(v):
     return v.ledger.select("id", "project_id", "period", "type").orderBy(F.asc_nulls_last("period"), "id")
