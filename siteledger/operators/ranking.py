@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 BUCKET = "__bucket"
+COPY_STEP = 16_384
 
 
 def _with_offsets(
@@ -32,11 +33,15 @@ def _with_offsets(
 
 @dataclass(frozen=True)
 class Place:
-    """A position to compute: within which keys, in which order, spread over which buckets."""
+    """A position to compute: within which keys, in which order, spread over which buckets.
+
+    With ``weight`` a row stands for that many equal rows and gets the place of the first.
+    """
 
     keys: Sequence[str]
     order: Sequence[Column | str]
     bucket: Column
+    weight: str | None = None
 
 
 def positions_of(df: DataFrame, places: dict[str, Place]) -> DataFrame:
@@ -47,11 +52,19 @@ def positions_of(df: DataFrame, places: dict[str, Place]) -> DataFrame:
     """
     buckets = {name: f"{BUCKET}_{name}" for name in places}
     base = df.withColumns({buckets[name]: place.bucket for name, place in places.items()})
+    # Stated here, the condition reaches both readings alike, so Spark can share a shuffle.
+    for column in dict.fromkeys([*buckets.values(), *[k for place in places.values() for k in place.keys]]):
+        base = base.filter(F.col(column).isNotNull())
     out = base
     for name, place in places.items():
         inside = W.partitionBy(*place.keys, buckets[name]).orderBy(*place.order)
-        inner = out.withColumn("__local", F.row_number().over(inside) - 1)
-        out = _with_offsets(base, inner, place.keys, buckets[name], F.count(F.lit(1)), "__local", name)
+        if place.weight is None:
+            local, total = F.row_number().over(inside) - 1, F.count(F.lit(1))
+        else:
+            earlier = inside.rowsBetween(W.unboundedPreceding, -1)
+            local, total = F.coalesce(F.sum(place.weight).over(earlier), F.lit(0)), F.sum(place.weight)
+        inner = out.withColumn("__local", local)
+        out = _with_offsets(base, inner, place.keys, buckets[name], total, "__local", name)
     return out.drop(*buckets.values())
 
 
@@ -60,6 +73,24 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return positions_of(df, {out: Place(keys, order, bucket)})
 
 
+def positions_of_copies(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str
+) -> DataFrame:
+    """Positions where rows may be copies of each other, however many.
+
+    ``keys`` and ``order`` must be all columns. Equal rows collapse to one counted row
+    before the first shuffle, the counted rows are placed, and each is then written out
+    again as often as it occurred. No window ever holds the copies.
+    """
+    counted = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__n"))
+    placed = positions_of(counted, {"__start": Place(keys, order, bucket, "__n")})
+    # Two steps keep the generated arrays short.
+    steps = placed.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(COPY_STEP))))
+    last = F.least(F.col("__from") + (COPY_STEP - 1), F.col("__n") - 1)
+    each = steps.withColumn("__nth", F.explode(F.sequence(F.col("__from"), last)))
+    return each.withColumn(out, F.col("__start") + F.col("__nth")).drop("__n", "__start", "__from", "__nth")
+
+
 def running_count(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, flag: Column, out: str
 ) -> DataFrame:

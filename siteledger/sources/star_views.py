@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_of
 from ..functions.text import column_number
-from ..operators.ranking import positions
+from ..operators.ranking import positions_of_copies
 
 AS_OF = "1996-06-03T00:00:00+08:00"
 EPOCH = "1992-01-01"
@@ -234,7 +234,7 @@ class StarViews:
             F.col("l_orderkey").alias("file_id"), day.cast("bigint").alias("day_no"), *order
         )
         bucket = F.col("l_linenumber").cast("bigint") * 2**32 + F.floor(F.col("l_partkey") / 2**20)
-        placed = positions(base, ["file_id", "day_no"], order, bucket, "pos")
+        placed = positions_of_copies(base, ["file_id", "day_no"], order, bucket, "pos")
         sheet = F.floor(F.col("pos") / DAY_ITEMS)
         return placed.withColumns(
             {

@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from siteledger.operators import ranking
 from siteledger.operators.nesting import nest_children
-from siteledger.operators.ranking import Place, latest, positions, positions_of, previous_value, running_count
+from siteledger.operators.ranking import Place, latest, positions, positions_of, positions_of_copies, previous_value, running_count
 
 
 def skewed(spark, n=900):
@@ -82,3 +83,14 @@ def test_several_positions_at_once(spark):
     flagged = {f: sorted((r for r in rows if r[2] == f), key=lambda r: -r[1]) for f in (True, False)}
     by_flag = {(r[0], r[1]): i for group in flagged.values() for i, r in enumerate(group)}
     assert got == {key: (by_key[key], by_flag[key]) for key in by_key}
+
+
+def test_copies_get_consecutive_places(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "COPY_STEP", 4)
+    rows = [(1, 5, "x")] * 11 + [(1, 3, "a"), (1, 5, "y"), (1, 9, "z")] + [(2, 1, "q")] * 2
+    df = spark.createDataFrame(rows, "k int, o int, v string")
+    got = sorted(tuple(r) for r in positions_of_copies(df, ["k"], ["o", "v"], F.floor(F.col("o") / 4), "n").collect())
+    want = []
+    for k in (1, 2):
+        want += [(*row, i) for i, row in enumerate(sorted(r for r in rows if r[0] == k))]
+    assert got == sorted(want)
