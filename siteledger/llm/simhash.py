@@ -181,20 +181,24 @@ def links(fps: DataFrame, bits: int, radius: int, segments: int, ratio: float =
         .groupBy("cell", "part")
         .agg(F.flatten(F.sort_array(F.collect_list("words"))).alias("words"))
     )
-    listed = tiles.select("cell", "part")
-    reached = listed.withColumn("step", F.explode(F.array(*[F.array(*map(F.lit, o)) for o in steps])))
-    reached = reached.select(
-        F.col("cell").alias("a_cell"),
-        F.col("part").alias("a_part"),
-        F.zip_with("cell", "step", lambda x, y: (x + y).cast("int")).alias("b_cell"),
+    rows = F.size("words") / F.lit(width)
+    listed = tiles.select(F.col("cell").alias("b_cell"), F.col("part").alias("b_part"), rows.alias("b_rows"))
+    reached = tiles.select("cell", "part", F.explode(F.array(*[F.array(*map(F.lit, o)) for o in steps])).alias("step"))
+    reached = reached.withColumn("b_cell", F.zip_with("cell", "step", lambda x, y: (x + y).cast("int"))).drop("step")
+    pairs = reached.join(listed, "b_cell").where((F.col("cell") != F.col("b_cell")) | (F.col("part") < F.col("b_part")))
+    # the tiles against which one tile is held come in groups of about a tile's size
+    groups = pairs.groupBy("cell", "part").agg(F.ceil(F.sum("b_rows") * width / TILE_WORDS).cast("int").alias("groups"))
+    pairs = pairs.join(groups, ["cell", "part"]).withColumn("group", F.pmod(F.xxhash64("b_cell", "b_part"), F.col("groups")))
+    others = tiles.select(F.col("cell").alias("b_cell"), F.col("part").alias("b_part"), F.col("words").alias("b_words"))
+    against = (
+        pairs.select("cell", "part", "group", "b_cell", "b_part")
+        .join(others, ["b_cell", "b_part"])
+        .groupBy("cell", "part", "group")
+        .agg(F.flatten(F.collect_list("b_words")).alias("b_words"))
+        .join(tiles, ["cell", "part"])
+        .select(F.lit(False).alias("own"), F.col("words").alias("a_words"), "b_words")
     )
-    pairs = reached.join(listed.select(F.col("cell").alias("b_cell"), F.col("part").alias("b_part")), "b_cell")
-    pairs = pairs.where((F.col("a_cell") != F.col("b_cell")) | (F.col("a_part") <= F.col("b_part")))
-
-    def side(name: str) -> DataFrame:
-        return tiles.select(F.col("cell").alias(f"{name}_cell"), F.col("part").alias(f"{name}_part"), F.col("words").alias(f"{name}_words"))
-
-    pairs = pairs.join(side("a"), ["a_cell", "a_part"]).join(side("b"), ["b_cell", "b_part"])
+    compared = against.union(tiles.select(F.lit(True), "words", F.array().cast("array<bigint>")))
 
     def run(batches):
         for batch in batches:
@@ -202,7 +206,7 @@ def links(fps: DataFrame, bits: int, radius: int, segments: int, ratio: float =
             tiles_a, tiles_b = batch.column(1), batch.column(2)
             for k, own in enumerate(batch.column(0).to_pylist()):
                 a = tiles_a[k].values.to_numpy().reshape(-1, width)
-                b = tiles_b[k].values.to_numpy().reshape(-1, width)
+                b = a if own else tiles_b[k].values.to_numpy().reshape(-1, width)
                 member, root = _forest(a.view(np.uint64), b.view(np.uint64), own, radius)
                 if len(member):
                     both = a if own else np.concatenate([a, b])
@@ -211,9 +215,8 @@ def links(fps: DataFrame, bits: int, radius: int, segments: int, ratio: float =
             ends = [pa.array([x.tobytes() for x in np.concatenate(side).astype(">i8")], pa.binary()) for side in (u, v)]
             yield pa.RecordBatch.from_arrays(ends, names=["u", "v"])
 
-    own = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_part") == F.col("b_part"))
     with batch_rows(spark, 64):
-        return durable(pairs.select(own.alias("own"), "a_words", "b_words").mapInArrow(run, "u binary, v binary"))
+        return durable(compared.mapInArrow(run, "u binary, v binary"))
 
 
 def near_classes(prints: DataFrame, bits: int, radius: int, segments: int, ratio: float = 0.0) -> DataFrame:
