@@ -119,12 +119,12 @@ def _cells(fps: DataFrame, bits: int, segments: int, bin_width: int, ratio: floa
     return fps.select("fp", "size").mapInArrow(run, "words array<bigint>, cell array<int>")
 
 
-def _close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all rows of a and b that differ in at most ``radius`` bits."""
-    left, right = [], []
+def _close_pairs(a: np.ndarray, b: np.ndarray, radius: int):
+    """Positions (i, j) of rows of a and b that differ in at most ``radius`` bits, block by block."""
     dense = min(4, a.shape[1])
-    for at in range(0, len(a), 256):
-        part = a[at : at + 256]
+    step = max(1, (1 << 20) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
         far = np.zeros((len(part), len(b)), np.uint16)
         for k in range(dense):
             far += np.bitwise_count(part[:, k, None] ^ b[None, :, k])
@@ -133,27 +133,24 @@ def _close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
             more = np.bitwise_count(part[i, dense:] ^ b[j, dense:]).sum(1, dtype=np.int64)
             kept = far[i, j] + more <= radius
             i, j = i[kept], j[kept]
-        left.append(i + at)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+        if len(i):
+            yield i + at, j
 
 
 def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) positions in a followed by b (a alone if ``same``) of the components of the links."""
-    i, j = _close_pairs(a, b, radius)
-    if same:
-        i, j = i[i < j], j[i < j]
-    else:
-        j = j + len(a)
     label = np.arange(len(a) + len(b) * (not same))
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
+    for i, j in _close_pairs(a, b, radius):
+        j = j if same else j + len(a)
+        while True:
+            root_i, root_j = label[i], label[j]
+            apart = root_i != root_j
+            if not apart.any():
+                break
+            i, j, root_i, root_j = i[apart], j[apart], root_i[apart], root_j[apart]
+            np.minimum.at(label, np.maximum(root_i, root_j), np.minimum(root_i, root_j))
+            while (label[label] != label).any():
+                label = label[label]
     member = np.flatnonzero(label != np.arange(len(label)))
     return member, label[member]
 
