@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-__all__ = ["batch_rows", "by_value", "durable", "narrow", "small_batches", "table"]
+__all__ = ["batch_rows", "by_value", "durable", "narrow", "shared_folder", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +53,16 @@ def batch_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, where intermediate tables are written.
+
+    Named by ``spark.checkpoint.dir``; on a local master without that setting, a private one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder before running this job")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return named.rstrip("/")

@@ -76,6 +76,12 @@ def _running(lengths: Column) -> Column:
     return F.flatten(F.zip_with(runs, sums(totals, F.lit(0)), sums))
 
 
+def _once(value: Column) -> Column:
+    """The value itself, made where it stands: a later filter on it is not pushed below, which
+    would repeat the long expression many times over."""
+    return F.explode_outer(F.array(value))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -195,7 +201,7 @@ def with_proposals(rows: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("loose", F.concat(F.filter(F.concat(*strict), lambda s: ~s["strict"]), *[n for n in arrays if n not in strict]))
     apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     loose = F.when((F.size("loose") > 0) & (F.size("base") > 0), apart).otherwise(F.col("loose"))
-    return rows.withColumn("proposals", F.concat("base", loose)).drop(*arrays, "base", "loose")
+    return rows.withColumn("proposals", _once(F.concat("base", loose))).drop(*arrays, "base", "loose")
 
 
 def _em(counts: DataFrame) -> DataFrame:
@@ -246,9 +252,10 @@ def _em(counts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """Log odds of each feature of the span classifier; counts cover all proposals of ``docs``."""
     rows = with_proposals(narrow(docs, text=text_col).where("text is not null"), "text")
-    each = rows.select(F.explode("proposals").alias("s"))
-    parts = [F.col(f"s.{c}") for c in ("kind", "value", "before", "after")]
-    seen = durable(each.select("s.kind", _votes(*parts).alias("votes"), _features(*parts).alias("features")).groupBy("kind", "votes", "features").agg(F.count("*").alias("n")))
+    each = rows.select(F.explode_outer("proposals").alias("s")).where("s is not null").select("s.kind", "s.value", "s.before", "s.after")
+    each = durable(each)  # the votes read the short proposals; the texts are done with
+    parts = [F.col(c) for c in ("kind", "value", "before", "after")]
+    seen = durable(each.select("kind", _votes(*parts).alias("votes"), _features(*parts).alias("features")).groupBy("kind", "votes", "features").agg(F.count("*").alias("n")))
     posteriors = _em(seen.groupBy("kind", "votes").agg(F.sum("n").alias("n"))).drop("state")
     soft = seen.join(posteriors, ["kind", "votes"]).select(F.explode("features").alias("feature"), "n", "posterior")
     sums = soft.groupBy("feature").agg(F.sum(F.col("n") * F.col("posterior")).alias("yes"), F.sum("n").alias("n")).collect()
@@ -298,6 +305,17 @@ def personal_data(docs: DataFrame, model: dict[str, float] | None = None, id_col
     return rows.select("doc_id", F.when(F.size("proposals") > 0, spans).otherwise(empty).alias("spans"))
 
 
+def _cleaner(pattern: Pattern, model: dict[str, float]):
+    """What stands for a span in redacted text."""
+
+    def cleaned(s: Column) -> Column:
+        sure = meets_definition(s["kind"], s["value"]) if pattern.strict else F.lit(False)
+        doubtful = F.lit(pattern.kind == "card" or not pattern.strict) & (_score(s, model) >= THRESHOLD)
+        return F.when(sure | doubtful, F.lit(f"<{pattern.kind.upper()}>")).otherwise(s["value"])
+
+    return cleaned
+
+
 def redact(docs: DataFrame, model: dict[str, float] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in angle brackets, all columns kept.
 
@@ -311,11 +329,6 @@ def redact(docs: DataFrame, model: dict[str, float] | None = None, text_col: str
         rows, spans = _matches(rows, "text", pattern)
         rows = rows.withColumn("found", spans)
 
-        def cleaned(s: Column, pattern: Pattern = pattern) -> Column:
-            sure = meets_definition(s["kind"], s["value"]) if pattern.strict else F.lit(False)
-            doubtful = F.lit(pattern.kind == "card" or not pattern.strict) & (_score(s, model) >= THRESHOLD)
-            return F.when(sure | doubtful, F.lit(f"<{pattern.kind.upper()}>")).otherwise(s["value"])
-
-        joined = F.array_join(F.zip_with("piece", F.concat(F.transform("found", cleaned), F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
-        rows = rows.select("row", F.when(F.size("hit") > 0, joined).otherwise(F.col("text")).alias("text"))
+        joined = F.array_join(F.zip_with("piece", F.concat(F.transform("found", _cleaner(pattern, model)), F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
+        rows = rows.select("row", _once(F.when(F.size("hit") > 0, joined).otherwise(F.col("text"))).alias("text"))
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns])

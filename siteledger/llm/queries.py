@@ -5,22 +5,100 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontamination, mixing, pii, resampling, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the quality resampling for every document."""
+    found = resampling.quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"), "kept")
+
+
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+# Places are 40 bits of md5 of the id; the target level falls out of the sources ordered by how
+# soon they are full. A source's front is the largest run of whole places within its rest;
+# one more place follows, the one that fits the remaining gap best.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 10))::BIGINT AS place
+  FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, 2 * source_size AS most, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s0),
+s2 AS (SELECT *, sum(most) OVER w - most AS full_before, sum(weight) OVER () - sum(weight) OVER w + weight AS weight_left,
+         1.5::DOUBLE * sum(source_size) OVER () AS goal
+       FROM s1 WINDOW w AS (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+s3 AS (SELECT *, (goal - full_before) / weight_left AS level, row_number() OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST) AS k FROM s2),
+s4 AS (SELECT arg_min(level, k) FILTER (WHERE most::DOUBLE >= level * weight) AS level FROM s3),
+s5 AS (SELECT source, source_size, least(most::DOUBLE, coalesce(s4.level * weight, most::DOUBLE)) AS target FROM s1, s4),
+s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS passes FROM s5),
+r AS (SELECT *, target - passes * source_size AS rest FROM s),
+p AS (SELECT source, place, sum(size) AS words FROM d GROUP BY source, place),
+c AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) AS until FROM p),
+f AS (SELECT r.source, coalesce(min(c.place) FILTER (WHERE c.until > r.rest), 1099511627776) AS edge
+      FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source GROUP BY r.source),
+g AS (SELECT f.source, f.edge, any_value(r.rest) - coalesce(sum(p.words) FILTER (WHERE p.place < f.edge), 0) AS gap
+      FROM f JOIN p ON f.source IS NOT DISTINCT FROM p.source JOIN r ON r.source IS NOT DISTINCT FROM f.source GROUP BY f.source, f.edge),
+b AS (SELECT g.source, arg_min(p.place, (abs(g.gap - p.words), p.place)) AS extra
+      FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source
+      WHERE p.place >= g.edge AND p.words > 0 AND p.words < 2 * g.gap GROUP BY g.source)
+SELECT d.doc_id, d.size, r.source_size, r.target,
+       d.size * (r.passes + CASE WHEN r.passes < 2 AND (d.place < f.edge OR d.place = coalesce(b.extra, -1)) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+JOIN f ON f.source IS NOT DISTINCT FROM d.source
+LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source
+"""
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains at least 0.8 of a benchmark item's five-word shingles, with the item."""
+    found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+s AS (SELECT DISTINCT side, id, shingle FROM (
+  SELECT side, id, unnest(list_transform(range(1, greatest(len(h) - 4, least(len(h), 1)) + 1), lambda k: array_to_string(h[k:k + 4], ' '))) AS shingle FROM w)),
+i AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE side = 'i')
+SELECT s.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(i.n_item) AS n_item
+FROM s JOIN i USING (shingle) WHERE s.side = 'd' GROUP BY s.id, i.id HAVING count(*) >= 0.8 * any_value(i.n_item) - 1e-9
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_quality": op3_quality,
+        "op4_mixture": op4_mixture,
+        "op5_personal_data": op5_personal_data,
         "op9_simhash": op9_simhash,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixture": OP4_SQL, "op10_decontamination": OP10_SQL}
