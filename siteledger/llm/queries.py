@@ -51,7 +51,7 @@ g AS (SELECT f.source, f.edge, any_value(r.rest) - coalesce(sum(p.words) FILTER
 b AS (SELECT g.source, arg_min(p.place, (abs(g.gap - p.words), p.place)) AS extra
       FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source
       WHERE p.place >= g.edge AND p.words > 0 AND p.words < 2 * g.gap GROUP BY g.source)
-SELECT d.doc_id, d.size, r.source_size, r.target,
+SELECT d.doc_id, d.source, d.size, r.source_size, r.target,
        d.size * (r.passes + CASE WHEN r.passes < 2 AND (d.place < f.edge OR d.place = coalesce(b.extra, -1)) THEN 1 ELSE 0 END) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 JOIN f ON f.source IS NOT DISTINCT FROM d.source
@@ -59,11 +59,15 @@ LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source
 """
 
 
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    counts = [F.size(F.filter(base, _is(kind))).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
