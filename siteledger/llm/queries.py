@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, resampling, simhash
+from . import decontamination, language_id, mixing, pii, resampling, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the quality resampling for every document."""
     found = resampling.quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -96,6 +100,7 @@ FROM s JOIN i USING (shingle) WHERE s.side = 'd' GROUP BY s.id, i.id HAVING coun
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language": op1_language,
         "op3_quality": op3_quality,
         "op4_mixture": op4_mixture,
         "op5_personal_data": op5_personal_data,
