@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, pii, resampling, simhash
+from . import decontamination, flac, language_id, licenses, mixing, pii, preferences, resampling, simhash, url_graph
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as FLAC, and what the stored bytes say when they are decoded."""
+    return flac.digests(flac.encode_texts(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the quality resampling for every document."""
     found = resampling.quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -75,6 +80,79 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("finds")
+
+
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of all conversations: the last reply against that of the next conversation."""
+    found = preferences.format_preferences(preferences.pairs_by_swap(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+# Here sides differ in their last turn only: it is the completion, and the rest the prompt.
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, min((coalesce(role, 'unknown'), coalesce(text, ''))) AS m FROM conversations
+           WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+t AS (SELECT conv_id, turn, struct_extract_at(m, 1) AS role, struct_extract_at(m, 2) AS text FROM c),
+l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+e AS (SELECT l.conv_id, l.last, t.text FROM l JOIN t ON t.conv_id = l.conv_id AND t.turn = l.last),
+p AS (SELECT a.conv_id, a.last, a.text AS mine, b.text AS other FROM e a JOIN e b ON b.conv_id = a.conv_id + 1),
+r AS (SELECT p.conv_id, p.last, p.mine, p.other, t.turn, '<|' || t.role || chr(124) || '>' || chr(10) || t.text || '<|end|>' || chr(10) AS line
+      FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn <= p.last),
+g AS (SELECT conv_id, any_value(mine) AS mine, any_value(other) AS other,
+        coalesce(string_agg(line, '' ORDER BY turn) FILTER (WHERE turn < last OR mine = other), '') AS prompt,
+        count(*) FILTER (WHERE turn < last OR mine = other) AS prefix_turns
+      FROM r GROUP BY conv_id),
+h AS (SELECT *, '<|assistant|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail, mine <> other AS apart FROM g)
+SELECT conv_id AS pair_id, 0::BIGINT AS page, prefix_turns, prompt,
+  CASE WHEN apart THEN head || mine || tail ELSE '' END AS chosen,
+  CASE WHEN apart THEN head || other || tail ELSE '' END AS rejected,
+  CASE WHEN apart THEN len(head) || ':' || (len(head) + len(mine) + len(tail)) ELSE '' END AS chosen_mask,
+  CASE WHEN apart THEN len(head) || ':' || (len(head) + len(other) + len(tail)) ELSE '' END AS rejected_mask
+FROM h
+"""
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op8_sql() -> str:
+    """The rules, the host graph, and each round of propagation as a table of its own."""
+    fits = lambda host, path: f"((host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}'))"
+    longest = sorted(url_graph.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest)
+    says = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in longest)
+    rounds, before = [], "seeds"
+    for turn in range(url_graph.ROUNDS):
+        rounds.append(
+            f"r{turn} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM ("
+            f"SELECT e.kind, e.dst AS host, {1 - url_graph.RESTART} * r.rank * e.share AS rank FROM {before} r JOIN e ON e.kind = r.kind AND e.src = r.host "
+            f"UNION ALL SELECT kind, host, {url_graph.RESTART} * rank FROM seeds) GROUP BY kind, host)"
+        )
+        before = f"r{turn}"
+    return rf"""
+WITH p0 AS (SELECT page_id, html, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host,
+              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+p AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE {says} END AS said FROM p0),
+linked AS (SELECT DISTINCT host AS src, lower(unnest(regexp_extract_all(coalesce(html, ''), '(?i)(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s>]+)', 1))) AS dst FROM p),
+hosts AS (SELECT host FROM p UNION SELECT dst FROM linked),
+labels AS (SELECT string_split(host, '.') AS l FROM hosts WHERE len(string_split(host, '.')) > 2),
+steps AS (SELECT DISTINCT array_to_string(l[k:], '.') AS src, array_to_string(l[k + 1:], '.') AS dst FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM labels)),
+edges AS (SELECT DISTINCT * FROM (SELECT * FROM linked UNION ALL SELECT * FROM steps UNION ALL SELECT dst, src FROM steps) WHERE src <> dst AND src <> '' AND dst <> ''),
+ways AS (SELECT 'trust' AS kind, src, dst FROM edges UNION ALL SELECT 'distrust', dst, src FROM edges),
+e AS MATERIALIZED (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind, src) AS share FROM ways),
+s AS (SELECT DISTINCT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host FROM p WHERE said IS NOT NULL AND host <> ''),
+seeds AS MATERIALIZED (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS rank FROM s),
+{", ".join(rounds)},
+scores AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM {before} GROUP BY host)
+SELECT page_id, p.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN scores ON scores.host = p.host
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -101,13 +179,17 @@ FROM s JOIN i USING (shingle) WHERE s.side = 'd' GROUP BY s.id, i.id HAVING coun
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
+        "op2_flac": op2_flac,
         "op3_quality": op3_quality,
         "op4_mixture": op4_mixture,
         "op5_personal_data": op5_personal_data,
+        "op6_licenses": op6_licenses,
+        "op7_preferences": op7_preferences,
+        "op8_urls": op8_urls,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixture": OP4_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_mixture": OP4_SQL, "op7_preferences": OP7_SQL, "op8_urls": _op8_sql(), "op10_decontamination": OP10_SQL}
