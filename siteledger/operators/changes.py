@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_inside_root, trim_wide
-from .masters import single_primary
+from .masters import clean_contacts, named_children, single_primary
 from .ranking import latest
 
 # The message shown when a required name is missing, per table.
@@ -29,9 +30,25 @@ def intake_named(rows: DataFrame, table: str) -> DataFrame:
     return named.withColumn("accepted", ~missing).withColumn("error", F.when(missing, F.lit(NAME_REQUIRED[table])))
 
 
+def _has_name() -> Column:
+    return trim_wide(F.coalesce("name", F.lit(""))) != ""
+
+
+def _with_name(changes: DataFrame) -> DataFrame:
+    return changes.filter(_has_name()) if "name" in changes.columns else changes
+
+
+def refused_updates(changes: DataFrame, table: str) -> DataFrame:
+    """Changes whose name is blank, with the message that tells so."""
+    return changes.filter(~_has_name()).withColumn("error", F.lit(NAME_REQUIRED[table]))
+
+
 def apply_updates(base: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:
-    """Full-row updates by key; the last change of a key wins, unknown keys change nothing."""
-    last = latest(changes, [key], [seq]).drop(seq)
+    """Full-row updates by key; the last change of a key wins, unknown keys change nothing.
+
+    Where rows have a name, a change without one is refused and changes nothing.
+    """
+    last = latest(_with_name(changes), [key], [seq]).drop(seq)
     untouched = base.join(last.select(key), key, "left_anti")
     known = last.join(base.select(key), key, "left_semi")
     return untouched.unionByName(known.select(*base.columns))
@@ -43,9 +60,29 @@ def unknown_updates(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def replace_children(children: DataFrame, replaced: DataFrame, fresh: DataFrame, parent: str, pos: str) -> DataFrame:
-    """Drop all children of the replaced parents, then add the new ones with one primary each."""
+    """Drop all children of the replaced parents, then add the new ones.
+
+    New children without a name are left out. Contacts are cleaned and have one primary
+    per parent; children without such a flag (insurance types) are taken as they are.
+    """
     kept = children.join(replaced.select(parent).distinct(), parent, "left_anti")
-    return kept.unionByName(single_primary(fresh, parent, pos).select(*children.columns))
+    named = named_children(fresh)
+    if "is_primary" in children.columns:
+        named = single_primary(clean_contacts(named), parent, pos)
+    return kept.unionByName(named.select(*children.columns))
+
+
+def refused_deletes(gone: DataFrame, references: Sequence[tuple[DataFrame, str]], gone_key: str = "id") -> DataFrame:
+    """The ids among ``gone`` that other rows still name: (table, column) pairs that block a delete."""
+    used = [table.select(F.col(column).alias(gone_key)).filter(F.col(gone_key).isNotNull()).distinct() for table, column in references]
+    named = functools.reduce(DataFrame.unionByName, used).distinct()
+    return gone.select(gone_key).distinct().join(named, gone_key, "left_semi")
+
+
+def delete_unreferenced(table: DataFrame, gone: DataFrame, references: Sequence[tuple[DataFrame, str]], key: str = "id") -> DataFrame:
+    """The table without the deleted ids, except those that a delete is refused for."""
+    free = gone.select(key).distinct().join(refused_deletes(gone, references, key), key, "left_anti")
+    return delete_rows(table, free, key, key)
 
 
 def delete_rows(table: DataFrame, gone: DataFrame, key: str, gone_key: str = "id") -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import design_fee, fee_unbid
 from ..functions.text import BLANK_CHARS, blank_to_null, trim_wide
-from ..schemas import PROJECT_FIELDS
+from ..schemas import PROJECT_FIELDS, schema_of
 
 
 def _contains(q: str | None, *columns: str) -> Column | None:
-    text = (q or "").strip(BLANK_CHARS)
+    # % and _ match any text; a backslash is an ordinary character
+    text = (q or "").strip(BLANK_CHARS).replace("\\", "\\\\")
     if not text:
         return None
     hit = F.col(columns[0]).ilike(f"%{text}%")
@@ -79,11 +80,17 @@ def ledger_display(ledger: DataFrame) -> DataFrame:
 
 
 def normalized_projects(raw: DataFrame) -> DataFrame:
-    """Empty text becomes null in every project field."""
+    """All project fields: empty text becomes null, and so does a field that is absent."""
     kept = [c for c in raw.columns if c not in PROJECT_FIELDS]
     texts = {f.name for f in raw.schema.fields if f.dataType.simpleString() == "string"}
-    cleaned = [blank_to_null(c).alias(c) if c in texts else F.col(c) for c in PROJECT_FIELDS if c in raw.columns]
-    return raw.select(*kept, *cleaned)
+    types = {f.name: f.dataType for f in schema_of("projects").fields}
+
+    def field(name: str) -> Column:
+        if name not in raw.columns:
+            return F.lit(None).cast(types[name]).alias(name)
+        return blank_to_null(name).alias(name) if name in texts else F.col(name)
+
+    return raw.select(*kept, *[field(c) for c in PROJECT_FIELDS])
 
 
 def single_primary(children: DataFrame, parent: str, pos: str) -> DataFrame:

@@ -15,8 +15,10 @@ UNMATCHED = "unmatched:查無同名廠商"
 def validation_error(expected_key: Column) -> Column:
     """Message of the first failing rule, null for a sound reader.
 
-    Reads the catalogue columns has_meta, vendor_key, version, target_fields_is_list,
-    has_parse and self_test ('none', 'true', 'false', 'error', 'not_function').
+    Reads the catalogue columns load_ok, has_meta, vendor_key, version, target_fields_is_list,
+    has_parse and self_test ('none', 'true', 'false', 'error', 'not_function'), and those
+    that ``with_load_state`` adds. A file that loads with an error names it; one that
+    loads but exports nothing has load_ok false and no load_error.
     """
     key = F.col("vendor_key")
     test = F.coalesce(F.col("self_test"), F.lit("none"))
@@ -25,7 +27,9 @@ def validation_error(expected_key: Column) -> Column:
     )
     # Messages of the rules, in the order they are checked.
     return (
-        F.when(~F.coalesce(F.col("load_ok"), F.lit(False)), F.lit("讀取檔未匯出有效內容"))
+        F.when(F.coalesce(F.col("is_empty"), F.lit(False)), F.lit("讀取檔內容為空"))
+        .when(F.col("load_error").isNotNull(), F.concat(F.lit("讀取檔無法載入:"), "load_error"))
+        .when(~F.coalesce(F.col("load_ok"), F.lit(False)), F.lit("讀取檔未匯出有效內容"))
         .when(~F.coalesce(F.col("has_meta"), F.lit(False)), F.lit("讀取檔缺少 meta"))
         .when(key.isNull() | (key == ""), F.lit("讀取檔 meta 缺少 vendorKey"))
         .when(~is_vendor_key(key), F.lit("讀取檔 meta.vendorKey 不是合法廠商名稱(空白/含危險字元/過長)"))
@@ -39,16 +43,29 @@ def validation_error(expected_key: Column) -> Column:
     )
 
 
+def with_load_state(readers: DataFrame) -> DataFrame:
+    """Adds is_empty (false) and load_error (null) where the catalogue has no such column."""
+    defaults = {"is_empty": F.lit(False), "load_error": F.lit(None).cast("string")}
+    return readers.withColumns({name: value for name, value in defaults.items() if name not in readers.columns})
+
+
 def validate_readers(readers: DataFrame, expected_key: str = "vendor_key") -> DataFrame:
-    """Each reader with ok and error; ``expected_key`` names the column it must match."""
-    checked = readers.withColumn("error", validation_error(F.col(expected_key)))
+    """Each reader with ok and error; ``expected_key`` names the column it must match.
+
+    An expected key other than the reader's own must be a valid vendor key itself.
+    """
+    error = validation_error(F.col(expected_key))
+    if expected_key != "vendor_key":
+        bad_key = ~F.coalesce(is_vendor_key(F.col(expected_key)), F.lit(False))
+        error = F.when(bad_key, F.lit("廠商鍵不合法(須為非空廠商名稱,不含檔名危險字元)")).otherwise(error)
+    checked = with_load_state(readers).withColumn("error", error)
     return checked.withColumn("ok", F.col("error").isNull())
 
 
 def apply_reader_log(log: DataFrame) -> DataFrame:
     """Install, overwrite and remove as one change log: valid installs only, last one wins."""
     install = (F.col("op") == "install") & validation_error(F.col("vendor_key")).isNull()
-    effective = log.filter(install | ((F.col("op") == "remove") & is_vendor_key("vendor_key")))
+    effective = with_load_state(log).filter(install | ((F.col("op") == "remove") & is_vendor_key("vendor_key")))
     return latest(effective, ["vendor_key"], ["load_seq"]).filter(F.col("op") == "install").drop("op")
 
 
@@ -83,10 +100,11 @@ def reader_overview(vendors: DataFrame, readers: DataFrame) -> DataFrame:
 
 
 def reader_orphans(vendors: DataFrame, readers: DataFrame) -> DataFrame:
-    """Readers whose key is no vendor's name, or can never be one."""
-    catalog = reader_catalog(readers).select("vendor_key", "version", "target_fields")
-    matched = vendors.select(F.col("name").alias("vendor_key")).filter(is_vendor_key("vendor_key"))
-    return catalog.join(matched, "vendor_key", "left_anti")
+    """Readers that serve no vendor: no vendor has their key as name, or their file is not named after it."""
+    catalog = reader_catalog(readers).select("vendor_key", "version", "target_fields", "file_name")
+    own_file = F.col("file_name") == F.concat("vendor_key", F.lit(READER_SUFFIX))
+    names = vendors.select("name").filter(is_vendor_key("name"))
+    return catalog.join(names, own_file & (F.col("vendor_key") == names["name"]), "left_anti").drop("file_name")
 
 
 def reader_overview_all(vendors: DataFrame, readers: DataFrame) -> DataFrame:
@@ -142,6 +160,7 @@ def bundled_readers(readers: DataFrame, vendors: DataFrame, installed: DataFrame
 
 
 def vendors_to_create(readers: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Names of readers that have no vendor yet."""
-    keys = installed_readers(readers).select(F.col("vendor_key").alias("name"))
+    """Names of sound bundled readers that have no vendor yet."""
+    sound = validate_readers(readers.filter(F.col("file_name").endswith(READER_SUFFIX))).filter("ok")
+    keys = sound.select(F.col("vendor_key").alias("name")).distinct()
     return keys.join(vendors.select("name"), "name", "left_anti")

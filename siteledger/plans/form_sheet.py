@@ -47,19 +47,28 @@ SECTION_TITLE = "^[一二三四五六七八九十]、"
 
 
 def day_cells(cells: DataFrame) -> DataFrame:
-    """Cells of the day sheets, with the day number taken from names like ``(7)``."""
-    return cells.filter(F.col("sheet").rlike(DAY_SHEET)).withColumn("day_pos", _day_pos())
+    """Cells of the day sheets."""
+    return cells.filter(F.col("sheet").rlike(DAY_SHEET))
 
 
 def day_sheets(sheets: DataFrame) -> DataFrame:
-    """The day sheets of each file; ``day_pos`` gives their numeric order."""
-    return day_cells(sheets).select("file_id", "sheet", "day_pos")
+    """The day sheets of each file; ``day_pos`` gives their numeric order and is theirs alone."""
+    return day_cells(sheets).select("file_id", "sheet", _day_pos())
 
 
 def _day_pos() -> Column:
-    """Number in the sheet name; one too long for a bigint sorts last instead of getting lost."""
-    number = F.regexp_extract("sheet", DAY_SHEET, 1).try_cast("bigint")
-    return F.coalesce(number, F.lit(2**63 - 1)).alias("day_pos")
+    """Place of a sheet by its number, one value per sheet name.
+
+    A name that spells its number plainly, up to 18 digits, has the number itself. Names
+    with leading zeros, which may repeat a number, come before these, in the order of their
+    numbers. Longer ones sort last, by a hash of the name.
+    """
+    digits = F.regexp_extract("sheet", DAY_SHEET, 1)
+    number = digits.try_cast("bigint")
+    padded = number * 32 + F.length(digits) - F.lit(2**62)
+    last = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("sheet"), 2)
+    zeros = digits.rlike("^0[0-9]")
+    return F.when(zeros & (F.length(digits) <= 16), padded).when(~zeros & (F.length(digits) <= 18), number).otherwise(last).alias("day_pos")
 
 
 def form_days(cells: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -67,7 +76,7 @@ def form_days(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 
     Weekday, worker total and cumulative amount do not exist in this layout.
     """
-    values = day_sheets(sheets).drop("day_pos").join(sheet_values(day_cells(cells), HEADER_CELLS), SHEET, "left")
+    values = day_cells(sheets).select(*SHEET).join(sheet_values(day_cells(cells), HEADER_CELLS), SHEET, "left")
     nothing = F.lit(None)
     return values.select(
         "file_id",

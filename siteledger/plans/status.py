@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import REAL_PERIOD, deadline_day, local_now, month_number, period_text
 from ..sources.lists import settlement_day
 
-MAX_MONTHS = 1200
-
 
 def project_months(projects: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """First and last due month of each project as month numbers.
@@ -23,8 +21,7 @@ def project_months(projects: DataFrame, as_of: datetime | str | None = None) ->
     base = F.coalesce(F.to_date("start_date"), F.to_date("created_at"), F.lit(now.date()))
     last = F.lit(now.year * 12 + now.month - 1)
     first = projects.select(F.col("id").alias("project_id"), month_number(base).alias("first_month"))
-    capped = F.least(last, F.col("first_month") + (MAX_MONTHS - 1)).alias("last_month")
-    return first.filter(F.col("first_month") <= last).select("project_id", "first_month", capped)
+    return first.filter(F.col("first_month") <= last).select("project_id", "first_month", last.alias("last_month"))
 
 
 def period_spine(projects: DataFrame, as_of: datetime | str | None = None) -> DataFrame:

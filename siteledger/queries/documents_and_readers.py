@@ -93,7 +93,7 @@ def turn_groups(v):
     """
     SELECT vendor_key, file_name, version FROM (
         SELECT *, row_number() OVER (PARTITION BY vendor_key ORDER BY file_name DESC) AS rn
-        FROM v_uploads WHERE load_ok AND vendor_key <> '') WHERE rn = 1""",
+        FROM v_uploads WHERE load_ok AND vendor_key <> '' AND file_name LIKE '%.pmisparser.js') WHERE rn = 1""",
 )
 def reader_catalog(v):
     return lists.reader_catalog(v.uploads).select("vendor_key", "file_name", "version")
@@ -103,10 +103,11 @@ def reader_catalog(v):
     "reader_validation",
     """
     SELECT file_name, CASE
-        WHEN load_ok AND has_meta AND vendor_key NOT IN ('', ' bad', 'a/b') AND vendor_key <> expected_key
+        WHEN expected_key = 'a/b' THEN '廠商鍵不合法(須為非空廠商名稱,不含檔名危險字元)'
+        WHEN NOT is_empty AND load_ok AND has_meta AND vendor_key NOT IN ('', ' bad', 'a/b') AND vendor_key <> expected_key
         THEN '讀取檔廠商鍵(' || vendor_key || ')與此廠商(' || expected_key || ')不符,避免裝錯家'
         ELSE rule_error END AS error,
-        rule_error IS NULL AND vendor_key = expected_key AS ok
+        rule_error IS NULL AND vendor_key = expected_key AND expected_key <> 'a/b' AS ok
     FROM v_checked""",
 )
 def reader_validation(v):
@@ -216,8 +217,8 @@ def bundled_readers(v):
 @query(
     "vendors_to_create",
     """
-    SELECT DISTINCT vendor_key AS name FROM v_uploads
-    WHERE load_ok AND vendor_key NOT IN ('', ' bad', 'a/b') AND vendor_key NOT IN (SELECT name FROM v_vendors)""",
+    SELECT DISTINCT vendor_key AS name FROM v_checked
+    WHERE rule_error IS NULL AND file_name LIKE '%.pmisparser.js' AND vendor_key NOT IN (SELECT name FROM v_vendors)""",
 )
 def vendors_to_create(v):
     return readers.vendors_to_create(v.uploads, v.vendors)

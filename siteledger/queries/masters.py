@@ -338,6 +338,45 @@ def apply_updates(v):
     return changes.apply_updates(base, log.filter("op = 'update'").drop("op"), "id", "seq")
 
 
+@query(
+    "refused_updates",
+    """
+    SELECT p_partkey AS id, '學校名稱為必填' AS error FROM part WHERE p_partkey % 6 = 0""",
+)
+def refused_updates(v):
+    name = F.when(F.col("p_partkey") % 6 == 0, F.lit("　 ")).otherwise(F.col("p_name"))
+    rows = v.table("part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    return changes.refused_updates(rows, "schools").select("id", "error")
+
+
+@query(
+    "replace_types",
+    """
+    SELECT p_partkey AS id, p_size AS insurer_id, p_type AS name FROM part WHERE p_size % 4 <> 0
+    UNION ALL
+    SELECT p_partkey, p_size, p_type || '*' FROM part WHERE p_size % 4 = 0 AND p_partkey % 5 <> 0""",
+)
+def replace_types(v):
+    types = v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("insurer_id"), F.col("p_type").alias("name"))
+    fresh = types.filter(F.col("insurer_id") % 4 == 0)
+    fresh = fresh.withColumn("name", F.when(F.col("id") % 5 == 0, F.lit(" ")).otherwise(F.concat("name", F.lit("*"))))
+    return changes.replace_children(types, fresh, fresh, "insurer_id", "id")
+
+
+@query(
+    "refused_deletes",
+    """
+    SELECT 'vendors' AS table_name, id FROM v_vendors WHERE id % 3 = 0 AND id IN (SELECT vendor_id FROM v_projects)
+    UNION ALL SELECT 'schools', id FROM v_schools WHERE id % 3 = 0 AND id IN (SELECT school_id FROM v_projects)""",
+)
+def refused_deletes(v):
+    def refused(table, name, column):
+        found = changes.refused_deletes(table.filter(F.col("id") % 3 == 0), [(v.projects, column)])
+        return found.select(F.lit(name).alias("table_name"), "id")
+
+    return refused(v.vendors, "vendors", "vendor_id").unionByName(refused(v.schools, "schools", "school_id"))
+
+
 @query(
     "unknown_updates",
     f"WITH {_ORDER_CHANGES} SELECT -id - 1 AS id FROM changed WHERE upd",
@@ -404,7 +443,8 @@ def master_intake(v):
 @query(
     "settings_latest",
     """
-    SELECT key, CAST(arg_max(value, seq) AS VARCHAR) AS value FROM v_changes WHERE value BETWEEN 1 AND 28 GROUP BY key""",
+    SELECT key, arg_max(value, seq) AS value FROM v_changes
+    WHERE key <> 'settlement_day' OR TRY_CAST(value AS BIGINT) BETWEEN 1 AND 28 GROUP BY key""",
 )
 def settings_latest(v):
     return lists.latest_settings(v.setting_changes)
@@ -413,8 +453,8 @@ def settings_latest(v):
 @query(
     "settlement_day",
     """
-    SELECT coalesce((SELECT arg_max(value, seq) FROM v_changes WHERE key = 'settlement_day' AND value BETWEEN 1 AND 28), 5)
-           AS settlement_day""",
+    SELECT coalesce((SELECT arg_max(CAST(value AS BIGINT), seq) FROM v_changes
+                     WHERE key = 'settlement_day' AND TRY_CAST(value AS BIGINT) BETWEEN 1 AND 28), 5) AS settlement_day""",
 )
 def settlement_day(v):
     return lists.settlement_day(lists.latest_settings(v.setting_changes))

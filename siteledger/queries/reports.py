@@ -145,16 +145,17 @@ def report_sheets(v):
 @query(
     "report_project_header",
     """
-    SELECT id AS project_id, name AS project_name, project_no, coalesce(award_amount, -1) AS award,
+    SELECT id AS project_id, name AS project_name, project_no,
+           CASE WHEN award_amount IS NULL THEN '' WHEN award_amount = floor(award_amount)
+                THEN CAST(CAST(award_amount AS BIGINT) AS VARCHAR) ELSE CAST(award_amount AS VARCHAR) END AS award,
            strftime(start_date, '%Y-%m-%d') AS start_date,
            strftime(contract_completion_date, '%Y-%m-%d') AS contract_completion_date
     FROM v_projects""",
 )
 def report_project_header(v):
     heads = report.report_project_header(v.projects)
-    award = F.coalesce(F.col("award_amount").try_cast("double"), F.lit(-1.0))
     return heads.select(
-        "project_id", "project_name", "project_no", award.alias("award"), "start_date", "contract_completion_date"
+        "project_id", "project_name", "project_no", F.col("award_amount").alias("award"), "start_date", "contract_completion_date"
     )
 
 
@@ -162,24 +163,24 @@ def report_project_header(v):
     "report_header_block",
     """
     WITH base AS (SELECT s.submission_id, coalesce(x.sheet_name, '監造報表') AS sheet_name, x.*  EXCLUDE (submission_id, sheet_name, project_id),
-                         p.name AS head_name, p.project_no, p.start_date, p.contract_completion_date
+                         p.name AS head_name, p.project_no, p.start_date, p.contract_completion_date,
+                         CASE WHEN award_amount IS NULL THEN '' WHEN award_amount = floor(award_amount)
+                              THEN CAST(CAST(award_amount AS BIGINT) AS VARCHAR) ELSE CAST(award_amount AS VARCHAR) END AS award
                   FROM v_reportable s LEFT JOIN v_sheets x ON x.submission_id = s.submission_id
                   LEFT JOIN v_projects p ON p.id = s.project_id)
-    SELECT submission_id, sheet_name, unnest([0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 12, 13]) AS pos,
+    SELECT submission_id, sheet_name, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]) AS pos,
            unnest(['本日天氣　上午', '下午', '填報日期', '工程名稱', '工程編號', '契約工期(天)', '開工日期', '契約竣工日',
-                   '實際完工日期', '預定進度(%)', '實際進度(%)', '契約變更次數']) AS label,
+                   '契約金額', '決標金額', '實際完工日期', '預定進度(%)', '實際進度(%)', '契約變更次數']) AS label,
            unnest([coalesce(weather_am, ''), '',
                    trim(coalesce(log_date_raw, '') || ' ' || coalesce('(' || weekday || ')', '')),
                    head_name, project_no, '', strftime(start_date, '%Y-%m-%d'), strftime(contract_completion_date, '%Y-%m-%d'),
-                   '', '', CASE WHEN actual_pct IS NULL THEN '' WHEN actual_pct = floor(actual_pct)
+                   award, award, '', '', CASE WHEN actual_pct IS NULL THEN '' WHEN actual_pct = floor(actual_pct)
                                 THEN CAST(CAST(actual_pct AS BIGINT) AS VARCHAR) ELSE CAST(actual_pct AS VARCHAR) END, '']) AS value
     FROM base""",
 )
 def report_header_block(v):
     sheets = report.report_sheets(report.reportable(v.report_submissions), v.days, BUCKET)
-    block = report.report_header_block(sheets, report.report_project_header(v.projects))
-    # Amounts are compared as numbers in report_project_header.
-    return block.filter(~F.col("label").isin("契約金額", "決標金額"))
+    return report.report_header_block(sheets, report.report_project_header(v.projects))
 
 
 def _lines(v):

@@ -34,7 +34,7 @@ VIEWS: dict[str, str] = {
                o_custkey AS school_id,
                CAST(o_orderdate AS DATE) AS start_date,
                CAST(o_orderdate AS DATE) + CAST(o_orderkey % 365 AS INTEGER) AS contract_completion_date,
-               CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS award_amount,
+               CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * CASE WHEN o_orderkey % 4 = 0 THEN 128 ELSE 1 END END AS award_amount,
                o_orderkey % 5 AS insurer_id,
                (o_orderkey * 7) % 25 AS insurance_type_id,
                CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'lump_sum' ELSE 'pct' END AS design_fee_type,
@@ -67,7 +67,7 @@ VIEWS: dict[str, str] = {
     "v_changes": """
         SELECT event_id AS seq,
                CASE WHEN event_type = 'click' THEN 'settlement_day' ELSE event_type END AS key,
-               CAST(floor(value) AS BIGINT) AS value
+               CASE WHEN event_type = 'click' THEN '' ELSE 'v' END || CAST(floor(value) AS BIGINT) AS value
         FROM events""",
     "v_readers": """
         SELECT vendor_key || '.pmisparser.js' AS file_name, load_seq, vendor_key, version, '項次、單位' AS target_fields,
@@ -79,11 +79,11 @@ VIEWS: dict[str, str] = {
               SELECT n_nationkey + 1000000000000, 'Orphan#' || n_nationkey, '2.0.0', 'text_log' FROM nation)""",
     "v_uploads": """
         SELECT 'part_' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.txt' ELSE '.pmisparser.js' END AS file_name,
-               p_partkey AS load_seq, p_partkey % 37 <> 0 AS load_ok, p_partkey % 31 <> 0 AS has_meta,
+               p_partkey AS load_seq, p_partkey % 37 <> 0 AS load_ok, p_partkey % 74 = 0 AS load_fails, p_partkey % 43 = 0 AS is_empty, p_partkey % 31 <> 0 AS has_meta,
                CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN ' bad'
                     WHEN p_partkey % 17 = 0 THEN 'a/b'
                     ELSE 'Supplier#' || lpad(CAST(p_partkey % 150 AS VARCHAR), 9, '0') END AS vendor_key,
-               CASE WHEN p_partkey % 41 = 0 THEN 'someone else'
+               CASE WHEN p_partkey % 47 = 0 THEN 'a/b' WHEN p_partkey % 41 = 0 THEN 'someone else'
                     ELSE 'Supplier#' || lpad(CAST(p_partkey % 150 AS VARCHAR), 9, '0') END AS expected_key,
                CASE WHEN p_partkey % 19 <> 0 THEN '1.' || (p_partkey % 4) END AS version,
                p_type || '、' || p_brand AS target_fields,
@@ -95,6 +95,8 @@ VIEWS: dict[str, str] = {
     # Rule messages against an expected key; v_checked uses the reader's own key.
     "v_checked": """
         SELECT *, CASE
+            WHEN is_empty THEN '讀取檔內容為空'
+            WHEN load_fails THEN '讀取檔無法載入:unexpected token'
             WHEN NOT load_ok THEN '讀取檔未匯出有效內容'
             WHEN NOT has_meta THEN '讀取檔缺少 meta'
             WHEN vendor_key = '' THEN '讀取檔 meta 缺少 vendorKey'

@@ -36,21 +36,25 @@ def settlement_day(settings: DataFrame) -> DataFrame:
 
 
 def latest_settings(changes: DataFrame) -> DataFrame:
-    """Upserted settings: the last accepted change per key, stored as plain integer text.
+    """Upserted settings: the last accepted change per key.
 
-    ``changes`` has (seq, key, value). Only settlement days within 1..28 are accepted.
+    ``changes`` has (seq, key, value). A settlement day is accepted within 1..28 only and
+    stored as plain integer text; other settings are stored as they are. Nulls are no change.
     """
-    day = valid_settlement_day(F.col("value"))
-    accepted = changes.withColumn("value", day.cast("string")).filter(F.col("value").isNotNull())
+    day = valid_settlement_day(F.col("value")).cast("string")
+    value = F.when(F.col("key") == "settlement_day", day).otherwise(F.col("value"))
+    accepted = changes.withColumn("value", value).filter(F.col("value").isNotNull())
     return latest(accepted.select("seq", "key", "value"), ["key"], ["seq", "value"]).select("key", "value")
 
 
 def reader_catalog(readers: DataFrame) -> DataFrame:
-    """Loadable readers by their own key; the last file name wins a shared key."""
-    usable = readers.filter(F.col("load_ok") & (F.col("vendor_key") != ""))
+    """Loadable reader files by their own key; the last file name wins a shared key."""
+    is_reader = F.col("file_name").endswith(READER_SUFFIX)
+    usable = readers.filter(is_reader & F.col("load_ok") & (F.col("vendor_key") != ""))
     return latest(usable, ["vendor_key"], ["file_name", "load_seq"])
 
 
 def installed_readers(readers: DataFrame) -> DataFrame:
-    """Catalogue entries that a vendor can use: their key is a valid vendor key."""
-    return reader_catalog(readers).filter(is_vendor_key("vendor_key"))
+    """Readers that a vendor can use: a valid vendor key, in the file named after it."""
+    own_file = F.col("file_name") == F.concat("vendor_key", F.lit(READER_SUFFIX))
+    return reader_catalog(readers.filter(own_file)).filter(is_vendor_key("vendor_key"))

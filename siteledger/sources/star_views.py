@@ -110,7 +110,7 @@ class StarViews:
             F.col("o_custkey").alias("school_id"),
             start.alias("start_date"),
             F.date_add(start, (key % 365).cast("int")).alias("contract_completion_date"),
-            F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("award_amount"),
+            F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") * F.when(F.col("o_orderkey") % 4 == 0, 128).otherwise(1)).alias("award_amount"),
             (key % 5).alias("insurer_id"),
             ((key * 7) % 25).alias("insurance_type_id"),
             F.when(lump, F.lit("lump_sum")).otherwise(F.lit("pct")).alias("design_fee_type"),
@@ -150,7 +150,8 @@ class StarViews:
     @cached_property
     def setting_changes(self) -> DataFrame:
         name = F.when(F.col("event_type") == "click", "settlement_day").otherwise(F.col("event_type"))
-        value = F.floor(F.col("value")).cast("string")
+        whole = F.floor(F.col("value")).cast("string")
+        value = F.when(F.col("event_type") == "click", whole).otherwise(F.concat(F.lit("v"), whole))
         return self.table("events").select(F.col("event_id").alias("seq"), name.alias("key"), value.alias("value"))
 
     # Readers -----------------------------------------------------------------
@@ -197,9 +198,11 @@ class StarViews:
             F.concat(F.lit("part_"), k.cast("string"), suffix).alias("file_name"),
             k.alias("load_seq"),
             (k % 37 != 0).alias("load_ok"),
+            F.when(k % 74 == 0, F.lit("unexpected token")).alias("load_error"),
+            (k % 43 == 0).alias("is_empty"),
             (k % 31 != 0).alias("has_meta"),
             key.alias("vendor_key"),
-            F.when(k % 41 == 0, F.lit("someone else")).otherwise(vendor).alias("expected_key"),
+            F.when(k % 47 == 0, F.lit("a/b")).when(k % 41 == 0, F.lit("someone else")).otherwise(vendor).alias("expected_key"),
             F.when(k % 19 != 0, F.concat(F.lit("1."), (k % 4).cast("string"))).alias("version"),
             F.array(F.col("p_type"), F.col("p_brand")).alias("target_fields"),
             (k % 23 != 0).alias("target_fields_is_list"),

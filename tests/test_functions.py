@@ -234,3 +234,9 @@ def test_half_up_against_the_formula(spark):
     rows = spark.createDataFrame(data, "v double").select("v", numbers.round_half_up("v", 2).alias("r")).collect()
     for v, r in rows:
         assert r == math.copysign(math.floor(abs(v) * 100 + 0.5 + 2.220446049250313e-16) / 100, v)
+
+
+def test_numbers_are_written_in_plain_digits(values):
+    numbers = [12345678.5, 0.0005, -1.5e-6, 3.0, 0.25, -0.0, 1e20, 123456789012345680.0, 1e21, 1.25e-7, 2**53 + 2.0, -98765432.125]
+    want = ["12345678.5", "0.0005", "-0.0000015", "3", "0.25", "0", "100000000000000000000", "123456789012345680", "1e+21", "1.25e-7", "9007199254740994", "-98765432.125"]
+    assert values(*[text.number_as_text(F.lit(n)) for n in numbers]) == want

@@ -70,9 +70,9 @@ def test_start_falls_back_to_creation_then_now(spark):
     assert [r[:2] for r in got] == [(1, "2026-06"), (1, "2026-07"), (2, "2026-07")]
 
 
-def test_spine_stops_at_1200_months(spark):
-    spine = status.period_spine(projects(spark, (1, D(1900, 1, 1), None)), "2026-07-02T00:00:00+08:00")
-    assert (spine.count(), spine.agg(F.max("period")).collect()[0][0]) == (1200, "1999-12")
+def test_spine_holds_every_month_of_a_long_project(spark):
+    spine = status.period_spine(projects(spark, (1, D(1880, 1, 1), None)), "2026-07-02T00:00:00+08:00")
+    assert (spine.count(), spine.agg(F.max("period")).collect()[0][0]) == (146 * 12 + 7, "2026-07")
 
 
 def test_status_needs_one_shuffle_and_no_join(spark):
@@ -144,7 +144,7 @@ def test_updates_and_deletes(spark):
         [(1, "update", 1, "old"), (3, "update", 1, None), (2, "update", 9, "nobody"), (4, "update", 3, "x"), (5, "delete", 3, None)],
         "seq int, op string, id int, name string",
     )
-    assert sorted(map(tuple, changes.merge_changes(base, log, "id", "seq").collect())) == [(1, None), (2, "b")]
+    assert sorted(map(tuple, changes.merge_changes(base, log, "id", "seq").collect())) == [(1, "old"), (2, "b")]
     assert [r.id for r in changes.unknown_updates(base, log.filter("op = 'update'"), "id").collect()] == [9]
 
 
@@ -232,3 +232,24 @@ def test_admin_flag(spark):
 def test_labels(spark):
     grid = spark.createDataFrame([("submitted",), ("overdue",), ("pending",), ("?",)], "status string")
     assert [r.status_label for r in masters.status_display(grid).collect()] == ["已繳", "未繳", "未到期", ""]
+
+
+def test_search_takes_a_backslash_as_it_is(spark):
+    df = spark.createDataFrame([(1, "a\\b"), (2, "ab"), (3, "a\\%")], "id bigint, name string")
+    assert [r.id for r in masters.search_by_name(df, "\\", ["id", "name"]).collect()] == [3, 1]
+    assert [r.id for r in masters.search_by_name(df, "a\\b", ["id", "name"]).collect()] == [1]
+
+
+def test_changes_that_are_refused(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
+    log = spark.createDataFrame([(1, "new", 1), (1, " ", 2), (2, None, 3)], "id bigint, name string, seq int")
+    assert sorted(map(tuple, changes.apply_updates(base, log, "id", "seq").collect())) == [(1, "new"), (2, "b")]
+    assert sorted((r.id, r.error) for r in changes.refused_updates(log, "vendors").collect()) == [(1, "廠商名稱為必填"), (2, "廠商名稱為必填")]
+    uses = spark.createDataFrame([(1,), (None,)], "vendor_id bigint")
+    assert [r.id for r in changes.refused_deletes(base, [(uses, "vendor_id")]).collect()] == [1]
+    assert [r.id for r in changes.delete_unreferenced(base, base, [(uses, "vendor_id")]).collect()] == [1]
+
+
+def test_absent_project_fields_become_null(spark):
+    row = masters.normalized_projects(spark.createDataFrame([(1, "")], "id bigint, name string")).collect()[0]
+    assert set(masters.PROJECT_FIELDS) <= set(row.asDict()) and row.name is None and row.award_amount is None

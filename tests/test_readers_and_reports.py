@@ -55,8 +55,9 @@ def test_rules(spark, change, message):
 
 
 def test_catalog_last_file_wins_and_broken_files_are_skipped(spark):
-    df = catalog(spark, {"file_name": "b", "version": None}, {"file_name": "a", "version": "9"}, {"file_name": "z", "load_ok": False}, {"vendor_key": ""})
-    assert [(r.vendor_key, r.file_name, r.version) for r in lists.reader_catalog(df).collect()] == [("甲", "b", None)]
+    names = {n: f"{n}.pmisparser.js" for n in "abz"}
+    df = catalog(spark, {"file_name": names["b"], "version": None}, {"file_name": names["a"], "version": "9"}, {"file_name": names["z"], "load_ok": False}, {"vendor_key": ""}, {"file_name": "zz.txt"})
+    assert [(r.vendor_key, r.file_name, r.version) for r in lists.reader_catalog(df).collect()] == [("甲", names["b"], None)]
 
 
 def test_log_of_installs(spark):
@@ -100,7 +101,20 @@ def test_bundled_and_auto_created(spark):
     df = catalog(spark, {}, {"file_name": "x.txt", "vendor_key": "乙"}, {"file_name": "c.pmisparser.js", "vendor_key": "丙"}, {"file_name": "d.pmisparser.js", "has_parse": False})
     found = readers.bundled_readers(df, vendors(spark, (1, "甲")), catalog(spark, {"vendor_key": "丙"}))
     assert sorted((r.vendor_key, r.vendor_exists, r.installed) for r in found.collect()) == sorted([("甲", True, False), ("丙", False, True)])
-    assert sorted(r.name for r in readers.vendors_to_create(df, vendors(spark, (1, "甲"))).collect()) == sorted(["乙", "丙"])
+    assert sorted(r.name for r in readers.vendors_to_create(df, vendors(spark, (1, "甲"))).collect()) == ["丙"]
+
+
+def test_installed_readers_are_named_after_their_key(spark):
+    df = catalog(spark, {"file_name": "other.pmisparser.js"}, {"file_name": "乙.pmisparser.js", "vendor_key": "乙"})
+    assert [r.vendor_key for r in lists.installed_readers(df).collect()] == ["乙"]
+    assert [r.vendor_key for r in readers.reader_orphans(vendors(spark, (1, "甲"), (2, "乙")), df).collect()] == ["甲"]
+
+
+def test_load_failures_empty_files_and_bad_expected_keys(spark):
+    df = catalog(spark, {"load_ok": False}, {"file_name": "2"}, {"file_name": "3", "expected_key": "a/b"})
+    df = df.withColumn("load_error", F.when(F.col("load_ok"), None).otherwise(F.lit("boom"))).withColumn("is_empty", F.col("file_name") == "2")
+    got = {r.file_name: r.error for r in readers.validate_readers(df, "expected_key").collect()}
+    assert got == {GOOD["file_name"]: "讀取檔無法載入:boom", "2": "讀取檔內容為空", "3": "廠商鍵不合法(須為非空廠商名稱,不含檔名危險字元)"}
 
 
 # Reports ---------------------------------------------------------------------
@@ -221,3 +235,18 @@ def test_stream_appends_each_request_once(spark, tmp_path):
         query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "ledger")).collect()
     assert sorted((r.request_id, r.period, r.type, r.deadline) for r in got) == [(1, "2026-07", "monthly", "2026-07-05"), (3, "2026-06", "supervision", "2026-06-05")]
+
+
+def test_stream_takes_late_requests_and_ignores_those_sent_again_later(spark, tmp_path):
+    early, late = dt.datetime(2026, 7, 1), dt.datetime(2026, 7, 20)
+
+    def arrive(name, *rows):
+        spark.createDataFrame(list(rows), stream.REQUEST).write.parquet(str(tmp_path / "in" / name))
+        requests = stream.read_requests(spark, str(tmp_path / "in" / "*"))
+        query = stream.append_to_ledger(stream.ledger_stream(requests, 5), str(tmp_path / "ledger"), str(tmp_path / "state"))
+        query.awaitTermination(120)
+
+    arrive("a", (1, 7, "2026-07", "monthly", "a", late))
+    arrive("b", (2, 7, "2026-06", "monthly", "b", early), (1, 7, "2026-07", "monthly", "a", late + dt.timedelta(days=9)))
+    got = spark.read.parquet(str(tmp_path / "ledger")).collect()
+    assert sorted((r.request_id, r.submitted_at) for r in got) == [(1, late), (2, early)]
