@@ -94,7 +94,7 @@ def _luhn(value: Column) -> Column:
 
 def meets_definition(kind: Column, value: Column) -> Column:
     """Whether a match of a kind's strict pattern is a span: parts at most 255, Luhn, 9 to 15 digits."""
-    part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     return (
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", value.rlike(rf"^{part}(?:\.{part}){{3}}$"))
