@@ -153,7 +153,9 @@ VIEWS: dict[str, str] = {
         FROM v_day_totals""",
     "v_subs": """
         SELECT k.project_id || '|' || k.period || '|' || k.type AS submission_id, k.project_id, k.period, k.type,
-               k.project_id AS file_id, v.name AS vendor_name, r.vendor_key AS reader_key,
+               CASE WHEN k.type = 'supervision'
+                         AND k.period > min(k.period) FILTER (WHERE k.type = 'supervision') OVER (PARTITION BY k.project_id)
+                    THEN -1 - k.project_id ELSE k.project_id END AS file_id, v.name AS vendor_name, r.vendor_key AS reader_key,
                CASE WHEN k.project_id % 23 = 0 THEN 'bad file' END AS parse_error
         FROM (SELECT project_id, period, type FROM v_ledger
               UNION SELECT id, strftime(start_date, '%Y-%m'), 'monthly' FROM v_projects) k

@@ -298,12 +298,19 @@ class StarViews:
 
     @cached_property
     def report_submissions(self) -> DataFrame:
-        """One submission per project, month and type found in the ledger or at the project's start."""
+        """One submission per project, month and type found in the ledger or at the project's start.
+
+        Monthly submissions and the first supervision of a project share the project's
+        file; later supervisions have files of their own, which hold no day.
+        """
         shipped = self.ledger.select("project_id", "period", "type")
         started = self.projects.select(
             F.col("id").alias("project_id"), month_of("start_date").alias("period"), F.lit("monthly").alias("type")
         )
         keys = shipped.unionByName(started).distinct()
+        first = keys.filter("type = 'supervision'").groupBy("project_id").agg(F.min("period").alias("first_period"))
+        keys = keys.join(first, "project_id", "left")
+        own = (F.col("type") == "supervision") & (F.col("period") > F.col("first_period"))
         vendor = self.projects.join(
             self.vendors.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor_name")), "vendor_id", "left"
         ).select(F.col("id").alias("project_id"), "vendor_name")
@@ -313,7 +320,7 @@ class StarViews:
         return joined.select(
             F.concat_ws("|", F.col("project_id").cast("string"), "period", "type").alias("submission_id"),
             "project_id", "period", "type",
-            F.col("project_id").alias("file_id"),
+            F.when(own, -1 - F.col("project_id")).otherwise(F.col("project_id")).alias("file_id"),
             "vendor_name",
             F.col("vendor_key").alias("reader_key"),
             F.when(F.col("project_id") % 23 == 0, F.lit("bad file")).alias("parse_error"),
