@@ -25,7 +25,7 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the quality resampling for every document."""
     found = resampling.quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"), "kept")
+    return found.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("key", 9).alias("key"), "kept")
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

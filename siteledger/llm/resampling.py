@@ -2,8 +2,9 @@
 
 Two bag-of-n-gram models over hash buckets are counted: one of the target texts (labelled
 good), one of all raw texts. A document's log weight is the sum, over its n-grams, of the
-log ratio of the two models; its key adds Gumbel noise, and the k largest keys are a
-sample without replacement in proportion to the weights.
+log ratio of the two models. Weights are tempered by length, w to the power 1 / (n + STEADY)
+for n n-grams, so that a long text does not win or lose by its length alone. The key is the
+tempered log weight with equally tempered Gumbel noise; the k largest keys are the sample.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ from .common import by_value, durable, narrow, small_batches
 
 by_value(sys.modules[__name__])
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 #: The target model is fitted on about so many labelled rows at most, chosen by a hash of their id.
 TARGET_ROWS = 20_000
+#: N-grams that are added to a text's own number when its weight is tempered.
+STEADY = 50
 #: Share of the labelled good documents that the sample is to hold.
 GOOD_SHARE = 0.995
+#: One in so many labelled documents is not learned from; these set the size of the sample.
+TUNED_ON = 4
 #: Words whose hashes a task remembers before it starts anew.
 REMEMBERED = 1 << 18
 
@@ -50,7 +55,7 @@ def ngram_buckets(text: str | None, words: _WordHash, buckets: int = BUCKETS) ->
 
 
 def good_labels(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """(doc_id, good) of a bounded sample of labelled documents.
+    """(doc_id, good, tuning) of a bounded sample of labelled documents.
 
     Good: every label of the id says quality 1 and none says toxic. Rows without id or
     quality are ignored. About ``rows`` ids are taken by a hash of the id, the same ones
@@ -64,7 +69,8 @@ def good_labels(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     )
     n = per_id.count()
     share = min(1.0, rows / n) if n else 1.0
-    return per_id.where(F.pmod(F.xxhash64("doc_id", F.lit("label sample")), F.lit(1_000_003)) < int(share * 1_000_003))
+    taken = per_id.where(F.pmod(F.xxhash64("doc_id", F.lit("label sample")), F.lit(1_000_003)) < int(share * 1_000_003))
+    return taken.withColumn("tuning", F.pmod(F.xxhash64("doc_id", F.lit("tuning")), F.lit(TUNED_ON)) == 0)
 
 
 def log_ratios(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -141,6 +147,19 @@ def kth_largest(values: DataFrame, k: int) -> float:
     return low
 
 
+def _least_good(known: DataFrame, share: float) -> float:
+    """Key that at least ``share`` of good documents reach, from the keys of labelled ones.
+
+    The quantile of n keys, less its distance to their median over the root of n: few
+    labelled documents do not show how low good ones may lie.
+    """
+    n = known.count()
+    if not n:
+        return -math.inf
+    low, middle = kth_largest(known, math.ceil(share * n)), kth_largest(known, math.ceil(n / 2))
+    return low - (middle - low) / math.sqrt(n)
+
+
 def quality_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -152,9 +171,9 @@ def quality_sample(
 ) -> DataFrame:
     """``keep`` columns (the id by default) with log_weight, key and kept (boolean) of every row of ``docs``.
 
-    The sample size k is the number of documents that lie, key by key, above the
-    ``1 - good_share`` quantile of the labelled good ones: it is set by the labels, and
-    the Gumbel top-k then takes the k largest keys (all that tie with the k-th).
+    The target model learns from three in four of the labelled good documents. The others
+    set the sample size k: the number of documents with keys that at least ``good_share``
+    of them reach. The Gumbel top-k then takes the k largest keys (all that tie with the k-th).
     Texts without a word have weight minus infinity and are rejected. Null ids are kept or
     rejected like any other; their noise comes from the text alone. Repeated rows get one
     verdict. Without labelled good texts nothing is known and every text with a word stays.
@@ -165,16 +184,15 @@ def quality_sample(
     marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marked = marked.join(F.broadcast(good), F.col("id") == F.col("label_id"), "left")
     small_batches(docs.sparkSession)
-    ratios = log_ratios(marked.select("text", (F.coalesce("good", F.lit(0)) == 1).alias("target")))
+    ratios = log_ratios(marked.select("text", ((F.coalesce("good", F.lit(0)) == 1) & ~F.coalesce("tuning", F.lit(False))).alias("target")))
     inner = {"row": F.struct(*[c.alias(n) for n, c in keep.items()]), "id": F.col(f"`{id_col}`"), "salt": F.xxhash64(F.col(f"`{text_col}`"))}
     scored = with_log_weights(docs, F.col(f"`{text_col}`"), ratios, inner)
     lost = F.col("n_grams") == 0
     scored = scored.withColumn("log_weight", F.when(lost, F.lit(-math.inf)).otherwise(F.col("log_weight")))
-    scored = scored.withColumn("key", F.col("log_weight") + gumbel(F.col("id"), F.col("salt")))
+    scored = scored.withColumn("key", (F.col("log_weight") + gumbel(F.col("id"), F.col("salt"))) / (F.col("n_grams") + STEADY))
     keys = durable(scored.where(~lost).select("id", "key"))
-    known = keys.join(F.broadcast(good), F.col("id") == F.col("label_id")).where("good = 1").select("key")
-    n_good = known.count()
-    floor = kth_largest(known, math.ceil(good_share * n_good)) if n_good else -math.inf
+    known = keys.join(F.broadcast(good.where("good = 1 and tuning")), F.col("id") == F.col("label_id")).select("key")
+    floor = _least_good(known, good_share)
     k = keys.where(F.col("key") >= F.lit(floor)).count()
     edge = kth_largest(keys, k) if k else math.inf
     return scored.select("row.*", "log_weight", "key", (~lost & (F.col("key") >= F.lit(edge))).alias("kept"))
