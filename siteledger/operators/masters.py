@@ -156,6 +156,11 @@ def project_vendors(projects: DataFrame, vendors: DataFrame) -> DataFrame:
     return projects.join(names, "vendor_id", "left")
 
 
+def submission_history(ledger: DataFrame) -> DataFrame:
+    """All columns of the ledger by period, records without one last."""
+    return ledger.orderBy(F.asc_nulls_last("period"), "id")
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count and emptiness of each table."""
     counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table_name"), "n") for k, t in tables.items()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import base_month
@@ -60,9 +63,9 @@ def status_display(v):
     return masters.status_display(submission_status(v)).select("project_id", "period", "status_label")
 
 
-@query("submission_history", "SELECT id, project_id, period, type FROM v_ledger")
+@query("submission_history", "SELECT * FROM v_ledger")
 def submission_history(v):
-    return v.ledger.select("id", "project_id", "period", "type").orderBy(F.asc_nulls_last("period"), "id")
+    return masters.submission_history(v.ledger)
 
 
 @query(
@@ -162,8 +165,11 @@ def status_labels(v):
 @query(
     "project_normalized",
     """
-    SELECT id, nullif(o.o_orderpriority, '5-LOW') AS name, CASE WHEN id % 2 = 0 THEN project_no END AS project_no,
-           CAST(start_date AS VARCHAR) AS start_date
+    SELECT id, CASE WHEN id % 2 = 0 THEN project_no END AS project_no, nullif(o.o_orderpriority, '5-LOW') AS name,
+           vendor_id, school_id, CAST(start_date AS VARCHAR) AS start_date,
+           CASE WHEN id % 3 <> 0 THEN CAST(contract_completion_date AS VARCHAR) END AS contract_completion_date,
+           NULL AS actual_completion_date, award_amount, insurer_id, insurance_type_id, NULL AS insurance_start, NULL AS insurance_end,
+           CASE WHEN design_fee_type = 'pct' THEN 'pct' END AS design_fee_type, design_fee_amount, design_fee_pct
     FROM v_projects JOIN orders o ON o.o_orderkey = id""",
 )
 def project_normalized(v):
@@ -172,9 +178,14 @@ def project_normalized(v):
         "id",
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).otherwise("").alias("name"),
         F.when(F.col("id") % 2 == 0, F.col("project_no")).otherwise("").alias("project_no"),
+        "vendor_id", "school_id",
         F.col("start_date").cast("string").alias("start_date"),
-    )
-    return masters.normalized_projects(raw).select("id", "name", "project_no", "start_date")
+        F.when(F.col("id") % 3 != 0, F.col("contract_completion_date").cast("string")).otherwise("").alias("contract_completion_date"),
+        "award_amount", "insurer_id", "insurance_type_id",
+        F.when(F.col("design_fee_type") == "pct", "pct").otherwise("").alias("design_fee_type"),
+        "design_fee_amount", "design_fee_pct",
+    )
+    return masters.normalized_projects(raw)
 
 
 @query(
@@ -218,7 +229,13 @@ def authorized_requests(v):
     UNION ALL SELECT 'schools', count(*), count(*) = 0 FROM v_schools
     UNION ALL SELECT 'projects', count(*), count(*) = 0 FROM v_projects
     UNION ALL SELECT 'submission_history', count(*), count(*) = 0 FROM v_ledger
-    UNION ALL SELECT 'users', count(*), count(*) = 0 FROM v_users""",
+    UNION ALL SELECT 'users', count(*), count(*) = 0 FROM v_users
+    UNION ALL SELECT 'vendor_contacts', count(*), count(*) = 0 FROM v_vendor_contacts
+    UNION ALL SELECT 'school_contacts', count(*), count(*) = 0 FROM v_school_contacts
+    UNION ALL SELECT 'insurers', count(*), count(*) = 0 FROM v_insurers
+    UNION ALL SELECT 'insurance_types', count(*), count(*) = 0 FROM v_types
+    UNION ALL SELECT 'settings', count(DISTINCT key), count(*) = 0 FROM v_changes
+    WHERE key <> 'settlement_day' OR TRY_CAST(value AS BIGINT) BETWEEN 1 AND 28""",
 )
 def table_counts(v):
     return masters.table_counts(
@@ -228,6 +245,11 @@ def table_counts(v):
             "projects": v.projects,
             "submission_history": v.ledger,
             "users": v.users,
+            "vendor_contacts": v.vendor_contacts,
+            "school_contacts": v.school_contacts,
+            "insurers": v.insurers,
+            "insurance_types": v.insurance_types,
+            "settings": lists.latest_settings(v.setting_changes),
         }
     )
 
@@ -402,13 +424,23 @@ def merge_changes(v):
     "cascade_delete",
     """
     SELECT 'projects' AS table_name, id AS id FROM v_projects WHERE id % 11 <> 0
-    UNION ALL SELECT 'submission_history', id FROM v_ledger WHERE project_id % 11 <> 0""",
+    UNION ALL SELECT 'submission_history', id FROM v_ledger WHERE project_id % 11 <> 0
+    UNION ALL SELECT 'vendor_contacts', id FROM v_vendor_contacts WHERE vendor_id % 11 <> 0 OR vendor_id NOT IN (SELECT id FROM v_vendors)
+    UNION ALL SELECT 'school_contacts', id FROM v_school_contacts WHERE school_id % 11 <> 0 OR school_id NOT IN (SELECT id FROM v_schools)
+    UNION ALL SELECT 'insurance_types', id FROM v_types WHERE insurer_id <> 1""",
 )
 def cascade_delete(v):
     gone = v.projects.filter(F.col("id") % 11 == 0).select("id")
     parents = changes.delete_rows(v.projects, gone, "id").select(F.lit("projects").alias("table_name"), "id")
-    children = changes.delete_rows(v.ledger, gone, "project_id").select(F.lit("submission_history").alias("table_name"), "id")
-    return parents.unionByName(children)
+    found = parents
+    for name, children, parents, key in (
+        ("submission_history", v.ledger, gone, "project_id"),
+        ("vendor_contacts", v.vendor_contacts, v.vendors.filter(F.col("id") % 11 == 0), "vendor_id"),
+        ("school_contacts", v.school_contacts, v.schools.filter(F.col("id") % 11 == 0), "school_id"),
+        ("insurance_types", v.insurance_types, v.insurers.filter(F.col("id") == 1), "insurer_id"),
+    ):
+        found = found.unionByName(changes.delete_rows(children, parents, key).select(F.lit(name).alias("table_name"), "id"))
+    return found
 
 
 @query(
@@ -430,14 +462,16 @@ def replace_children(v):
 @query(
     "master_intake",
     """
-    SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE p_name END AS name, p_partkey % 6 <> 0 AS accepted,
-           CASE WHEN p_partkey % 6 = 0 THEN '廠商名稱為必填' END AS error
-    FROM part""",
+    SELECT t.table_name, p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE p_name END AS name, p_partkey % 6 <> 0 AS accepted,
+           CASE WHEN p_partkey % 6 = 0 THEN t.error END AS error
+    FROM part, (VALUES ('vendors', '廠商名稱為必填'), ('schools', '學校名稱為必填'), ('insurers', '保險公司名稱為必填'),
+                       ('projects', '工程名稱為必填')) AS t(table_name, error)""",
 )
 def master_intake(v):
     name = F.when(F.col("p_partkey") % 6 == 0, F.lit(" \t　")).otherwise(F.concat(F.lit("　"), "p_name", F.lit(" ")))
     rows = v.table("part").select(F.col("p_partkey").alias("id"), name.alias("name"))
-    return changes.intake_named(rows, "vendors")
+    found = [changes.intake_named(rows, name).withColumn("table_name", F.lit(name)) for name in changes.NAME_REQUIRED]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @query(
