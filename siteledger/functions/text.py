@@ -87,23 +87,12 @@ def number_as_text(value: Column | str) -> Column:
     From 1e21 on, and below 1e-6, it is written like ``1.5e+21``.
     """
     v = _col(value).cast("double")
-    written = v.cast("string")
-    parts = r"^-?(\d)\.(\d+)E(-?\d+)$"
-    first, power = F.regexp_extract(written, parts, 1), F.regexp_extract(written, parts, 3).try_cast("int")
-    rest = F.regexp_replace(F.regexp_extract(written, parts, 2), "0+$", "")
-    digits = F.concat(first, rest)
-    behind = F.substring(digits, power + 2, F.length(digits))
-    large = F.concat(
-        F.substring(digits, F.lit(1), power + 1),
-        F.repeat(F.lit("0"), power + 1 - F.length(digits)),
-        F.when(behind == "", F.lit("")).otherwise(F.concat(F.lit("."), behind)),
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    mark = F.when(power < 0, F.lit("e")).otherwise(F.lit("e+"))
-    far = F.concat(first, F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)), mark, power.cast("string"))
-    plain = F.when((power >= 21) | (power < -6), far).when(power >= 0, large).otherwise(small)
-    signed = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), plain)
-    return F.when(v == 0, F.lit("0")).when(power.isNotNull(), signed).otherwise(F.regexp_replace(written, r"\.0$", ""))
+    written = v.cast("string")  # shortest digits, with an exponent from 1e7 on and below 1e-3
+    far = F.replace(F.replace(F.replace(written, F.lit(".0E"), F.lit("E")), F.lit("E-"), F.lit("e-")), F.lit("E"), F.lit("e+"))
+    # at most 17 digits: ten places hold what is behind the point of a number from 1e7 on
+    digits = F.when(F.abs(v) >= 1, written.try_cast("decimal(38,10)").cast("string")).otherwise(written.try_cast("decimal(38,24)").cast("string"))
+    spelled = F.when((F.abs(v) >= 1e21) | (F.abs(v) < 1e-6), far).otherwise(F.regexp_replace(digits, r"\.?0+$", ""))
+    return F.when(v == 0, F.lit("0")).when(written.contains("E"), spelled).otherwise(F.regexp_replace(written, r"\.0$", ""))
 
 
 def is_page_item_id(token: Column | str) -> Column:

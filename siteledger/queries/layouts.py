@@ -295,6 +295,32 @@ def first_day(v):
 _ROW = ", ".join(f"{f} := {f}" for f in ["item_no", "item_name", "unit"])
 
 
+@query(
+    "all_labour",
+    f"""
+    WITH {_FILES}
+    SELECT t.file_id, day_pos, '大工' AS trade, CAST(day_no % 5 AS DOUBLE) AS headcount
+    FROM v_day_totals t JOIN files f ON f.file_id = t.file_id WHERE layout = 'form_sheet'
+    UNION ALL
+    SELECT t.file_id, day_pos, '一般工', CAST(day_no % 4 AS DOUBLE)
+    FROM v_matrix_days t JOIN files f ON f.file_id = t.file_id WHERE layout = 'matrix_sheet' AND day_no % 4 > 0""",
+)
+def all_labour(v):
+    return _extraction(v).labour.drop("pos")
+
+
+@query(
+    "all_machines",
+    f"""
+    WITH {_FILES}
+    SELECT t.file_id, day_pos, name, CASE WHEN name = '吊車' THEN CAST(n_items AS DOUBLE) END AS qty
+    FROM v_day_totals t JOIN files f ON f.file_id = t.file_id, (VALUES ('挖土機'), ('吊車')) AS m(name)
+    WHERE layout = 'form_sheet'""",
+)
+def all_machines(v):
+    return _extraction(v).machines.drop("pos")
+
+
 @query(
     "days_nested",
     f"""
