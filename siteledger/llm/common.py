@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-__all__ = ["batch_rows", "by_value", "durable", "narrow", "shared_folder", "small_batches", "table"]
+__all__ = ["batch_rows", "by_value", "durable", "narrow", "sent_if_small", "shared_folder", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Rows of a few numbers each up to which a table is sent to every task.
+SENT_ROWS = 200_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """The table, marked for broadcast if it is counted to have at most so many rows.
+
+    For stored tables, which are cheap to count; a larger one is joined by a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Jobs that run inside send at most so many rows to Python at once."""

@@ -5,7 +5,7 @@ document holds it with probability equal to the containment of the item, however
 document is. Each item gives its first few shingles as probes (all of them when it is
 small), in partitions by size, and documents too short for a partition are not compared
 with it. Documents with enough probes are candidates. For candidates alone all shingles of
-the item are counted exactly. Only built-in functions; text never crosses a shuffle.
+the item are counted exactly. Only built-in functions; the search never shuffles text.
 """
 
 from __future__ import annotations
@@ -13,15 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, narrow
+from .common import SENT_ROWS, durable, narrow, sent_if_small
 
 WORDS = 5
 CONTAINMENT = 0.8
 #: Probes per item. With 12 an item at the threshold has fewer than 2 hits once in 5 million times.
 PROBES = 12
 LEAST_HITS = 2
-#: Candidate documents are sent to every task only up to so many rows of 16 bytes.
-SENT_ROWS = 200_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -105,4 +103,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     hit = durable(hit)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
     same = (F.col("row_hash") == hit["text_hash"]) & F.col(f"row.`{id_col}`").eqNullSafe(hit["doc_id"])
-    return whole.join(hit, same, "left_anti").select("row.*")
+    return whole.join(sent_if_small(hit), same, "left_anti").select("row.*")

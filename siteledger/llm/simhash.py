@@ -242,7 +242,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(names, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_radius(bits: int, similarity: float, margin: float = 1.0) -> int:
+def near_duplicate_radius(bits: int, similarity: float, margin: float = 2.0) -> int:
     """Bits by which texts of this Jaccard similarity differ, plus ``margin`` standard deviations.
 
     Sets of equal size with Jaccard similarity s have cosine 2s / (1 + s), and SimHash
