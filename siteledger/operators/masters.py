@@ -138,22 +138,30 @@ def import_totals(lines: DataFrame, existing: DataFrame) -> DataFrame:
     return marked.agg(created.alias("created"), (total - created).alias("skipped"))
 
 
+def with_names(rows: DataFrame, table: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds the name of the row of ``table`` that the column ``key`` points at, null if there is none.
+
+    Rows without a key match nothing; each gets a key of its own below zero, so that they
+    are spread over the tasks of the join instead of meeting in one.
+    """
+    names = table.select(F.col("id").alias("__id"), F.col("name").alias(out))
+    own = -1 - F.pmod(F.xxhash64("id"), F.lit(2**62))
+    return rows.join(names, F.coalesce(F.col(key).cast("bigint"), own) == F.col("__id"), "left").drop("__id")
+
+
 def project_wide(
     projects: DataFrame, vendors: DataFrame, schools: DataFrame, insurers: DataFrame, types: DataFrame
 ) -> DataFrame:
     """Projects with the names of vendor, school, insurer and the insurer's own type."""
-    named = (
-        projects.join(vendors.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor_name")), "vendor_id", "left")
-        .join(schools.select(F.col("id").alias("school_id"), F.col("name").alias("school_name")), "school_id", "left")
-        .join(insurers.select(F.col("id").alias("insurer_id"), F.col("name").alias("insurer_name")), "insurer_id", "left")
-    )
+    named = with_names(projects, vendors, "vendor_id", "vendor_name")
+    named = with_names(named, schools, "school_id", "school_name")
+    named = with_names(named, insurers, "insurer_id", "insurer_name")
     own = types.select("insurer_id", F.col("id").alias("insurance_type_id"), F.col("name").alias("insurance_type_name"))
     return named.join(own, ["insurer_id", "insurance_type_id"], "left")
 
 
 def project_vendors(projects: DataFrame, vendors: DataFrame) -> DataFrame:
-    names = vendors.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor_name"))
-    return projects.join(names, "vendor_id", "left")
+    return with_names(projects, vendors, "vendor_id", "vendor_name")
 
 
 def submission_history(ledger: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ from .ranking import previous_value, running_count
 ITEMS_PER_BUCKET = 4096
 
 
-def page_lines(items: DataFrame, keys: Sequence[str] = ("file_id", "page")) -> DataFrame:
+def page_lines(items: DataFrame, keys: Sequence[str] = ("file_id", "page"), bucket: Column | None = None) -> DataFrame:
     """Join text items into lines: a new line starts where y changes. Text is NFKC.
 
     The change flag and its running count work bucket by bucket, so one page with very
-    many items is spread over tasks. Output: keys, line_no (0-based), text.
+    many items is spread over tasks. By default a bucket is a run of ITEMS_PER_BUCKET item
+    numbers; where these have gaps, ``bucket`` gives coarser runs. Output: keys, line_no (0-based), text.
     """
-    bucket = F.floor(F.col("item_no") / ITEMS_PER_BUCKET)
+    bucket = F.floor(F.col("item_no") / ITEMS_PER_BUCKET) if bucket is None else bucket
     seen = previous_value(items, keys, "item_no", bucket, "y", "__y")
     breaks = F.col("__y").isNotNull() & (F.col("__y") != F.col("y"))
     numbered = running_count(seen, keys, ["item_no"], bucket, breaks, "line_no")

@@ -67,7 +67,8 @@ def page_lines_query(v):
         (-F.col("line")).cast("double").alias("y"),
         "str",
     )
-    return page_lines(items)
+    # item numbers leave 2**24 places to a line: 512 lines to a bucket
+    return page_lines(items, bucket=F.floor(F.col("item_no") / 2**33))
 
 
 @query(
