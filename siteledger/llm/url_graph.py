@@ -75,18 +75,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, restart:
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src")))
     degree = both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
-    degree = degree.withColumn("parts", F.ceil(F.col("degree") / EDGES_TOGETHER).cast("int"))
-    both = both.join(degree, ["kind", "src"]).withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"))
-    both = durable(both.select("kind", "src", "part", "parts", "dst", (F.lit(1.0) / F.col("degree")).alias("share")))
-    parts = durable(degree.select("kind", F.col("src").alias("host"), "parts"))
+    degree = durable(degree.withColumn("parts", F.ceil(F.col("degree") / EDGES_TOGETHER).cast("int")))
+    parts = degree.select("kind", F.col("src").alias("host"), "parts")
+    # an edge knows how many parts its end is split into, so a round is one join and one sum
+    both = both.join(degree, ["kind", "src"]).join(parts.select("kind", F.col("host").alias("dst"), F.col("parts").alias("dst_parts")), ["kind", "dst"], "left")
+    both = both.withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"))
+    both = durable(both.select("kind", "src", "part", "dst", F.coalesce("dst_parts", F.lit(1)).alias("dst_parts"), (F.lit(1.0) / F.col("degree")).alias("share")))
     seeds = seeds.select("kind", "host").distinct()
     amount = seeds.groupBy("kind").agg(F.count("*").alias("n"))
-    seeds = durable(seeds.join(amount, "kind").select("kind", "host", (F.lit(1.0) / F.col("n")).alias("rank")))
+    seeds = seeds.join(amount, "kind").join(parts, ["kind", "host"], "left")
+    seeds = durable(seeds.select("kind", "host", F.coalesce("parts", F.lit(1)).alias("parts"), (F.lit(1.0) / F.col("n")).alias("rank")))
     ranks = seeds
     for turn in range(1, rounds + 1):
-        spread = ranks.join(parts, ["kind", "host"]).select("kind", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        moved = both.join(spread, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), ((1 - restart) * F.col("rank") * F.col("share")).alias("rank"))
-        ranks = moved.union(seeds.select("kind", "host", (restart * F.col("rank")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        spread = ranks.select("kind", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        flow = (1 - restart) * F.col("rank") * F.col("share")
+        moved = both.join(spread, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), F.col("dst_parts").alias("parts"), flow.alias("rank"))
+        back = seeds.select("kind", "host", "parts", (restart * F.col("rank")).alias("rank"))
+        ranks = moved.union(back).groupBy("kind", "host", "parts").agg(F.sum("rank").alias("rank"))
         if turn % WRITTEN_EVERY == 0 or turn == rounds:
             ranks = durable(ranks)
     return ranks
