@@ -133,3 +133,16 @@ def test_quality_edges(spark):
     empty = labels.where("false")
     assert {r.doc_id for r in resampling.quality_sample(edge_docs(spark), empty).collect() if r.kept} == {None, 4, 5, 6}
     assert resampling.quality_sample(edge_docs(spark, []), labels).count() == 0
+
+
+def test_a_few_toxic_words_in_ordinary_text_are_enough(spark):
+    rng = random.Random(6)
+    words, bad = ["lorem", "ipsum", "dolor", "sit", "amet", "elit"], ["vile", "scum", "creep"]
+    texts = [rng.choices(words, k=rng.choice([40, 400])) for _ in range(400)]
+    for text in texts[300:]:
+        for word in rng.sample(bad, 2):
+            text[rng.randrange(1, len(text))] = word
+    df = docs(spark, *map(" ".join, texts))
+    labels = spark.createDataFrame([(n, 1, int(n >= 300)) for n in range(0, 400, 2)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in resampling.quality_sample(df, labels).collect()}
+    assert sum(got[n] for n in range(300)) >= 295 and not any(got[n] for n in range(300, 400))
