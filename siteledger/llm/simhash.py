@@ -9,6 +9,9 @@ so a crowd of near copies yields as many rows as it has members. Components of t
 forests are the classes.
 
 The comparison is exact, and quadratic in the distinct fingerprints of neighbouring tiles.
+
+Where texts are dropped, fingerprints only propose: within each component of close
+fingerprints the sets of shingles are compared, and only links that they confirm count.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, by_value, durable, narrow, small_batches
+from .common import batch_rows, by_value, durable, narrow, sent_if_small, small_batches
 from .graph import components
 
 by_value(sys.modules[__name__])
@@ -33,6 +36,8 @@ by_value(sys.modules[__name__])
 TILE_WORDS = 1 << 14
 #: Longer runs of texts are hashed in parts of so many shingles, to bound memory.
 HASH_ROWS = 1 << 14
+#: A part of a component has at most about so many shingles, and so many sets.
+PART_SHINGLES, PART_SETS = 1 << 18, 1 << 10
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -252,29 +257,133 @@ def near_duplicate_radius(bits: int, similarity: float, margin: float = 2.0) ->
     return int(bits * p + margin * math.sqrt(bits * p * (1 - p)))
 
 
+# --------------------------------------------------------------------------- exact sets
+
+
+def with_sets(docs: DataFrame, text: Column, words: int, keep: dict[str, Column], bits: int = 0, stored: bool = False) -> DataFrame:
+    """The kept columns and, of the distinct shingles of every row, ``node`` (a 128-bit digest of the set) and ``size``.
+
+    With ``bits``, also ``fp``, their fingerprint; with ``stored``, ``hashes``, the set itself, ascending 64-bit hashes.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("k"), text.alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            nodes = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            columns = {"k": batch.column(0), "node": pa.array(nodes, pa.binary()), "size": pa.array([len(h) for h in sets], pa.int64())}
+            if bits:
+                columns["fp"] = pa.array([fingerprint(h, bits) for h in sets], pa.binary())
+            if stored:
+                columns["hashes"] = pa.array([h.tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    fields = [source.schema["k"], T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType())]
+    fields += [T.StructField(n, T.BinaryType()) for n, wanted in (("fp", bits), ("hashes", stored)) if wanted]
+    return source.mapInArrow(run, T.StructType(fields)).select("k.*", *[f.name for f in fields[1:]])
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (distinct values) have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
+def _confirmed_forest(a: list, b: list, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) positions in a followed by b (a alone if b is None) of the components of confirmed links.
+
+    Sides are lists of (fp, set). Sets already in one component are not compared again.
+    """
+    words = [np.frombuffer(b"".join(fp for fp, _ in side), ">u8").astype(np.uint64).reshape(len(side), -1) for side in (a, a if b is None else b)]
+    sets = [h for _, h in a + (b or [])]
+    label = np.arange(len(sets))
+    for i, j in _close_pairs(*words, radius):
+        j = j if b is None else j + len(a)
+        ahead = i < j
+        i, j = i[ahead], j[ahead]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        for at, end in zip(first, [*first[1:], len(i)]):
+            one, others = i[at], j[at:end]
+            for other in others[label[others] != label[one]]:
+                if label[other] != label[one] and similar(sets[one], sets[other], similarity):
+                    low, high = sorted((label[one], label[other]))
+                    label[label == high] = low
+    member = np.flatnonzero(label != np.arange(len(label)))
+    return member, label[member]
+
+
+def confirmed_links(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Spanning links (u, v) among nodes of one ``root`` whose fingerprints are within the radius and whose sets are similar.
+
+    ``members`` hold root, node, fp, size and hashes, each node once. A large component is cut
+    into parts, and each pair of its parts is compared.
+    """
+    spark = members.sparkSession
+    parts = F.greatest(F.ceil(F.sum("size") / PART_SHINGLES), F.ceil(F.count("*") / PART_SETS)).cast("int")
+    large = durable(members.groupBy("root").agg(parts.alias("parts")).where("parts > 1"))
+    dealt = members.join(sent_if_small(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = durable(dealt.groupBy("root", "part").agg(F.collect_list(F.struct("node", "fp", "hashes")).alias("sets")))
+    sides = tiles.select("root", "part").join(sent_if_small(large), "root")
+    pairs = sides.select("root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b_part")).where("part < b_part")
+    others = tiles.select("root", F.col("part").alias("b_part"), F.col("sets").alias("b_sets"))
+    across = pairs.join(tiles, ["root", "part"]).join(others, ["root", "b_part"]).select("sets", "b_sets")
+    compared = across.union(tiles.where(F.size("sets") > 1).select("sets", F.lit(None).alias("b_sets")))
+
+    def read(side):
+        return None if side is None else [(s["fp"], np.frombuffer(s["hashes"], np.uint64)) for s in side]
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for sets, b_sets in zip(batch.column(0), batch.column(1)):
+                sets, b_sets = sets.as_py(), b_sets.as_py()
+                nodes = [s["node"] for s in sets + (b_sets or [])]
+                member, root = _confirmed_forest(read(sets), read(b_sets), radius, similarity)
+                u += [nodes[k] for k in member]
+                v += [nodes[k] for k in root]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    with batch_rows(spark, 16):
+        return durable(compared.mapInArrow(run, "u binary, v binary"))
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512
 ) -> DataFrame:
     """One row of each class of near-duplicates, with all columns of ``docs``.
 
-    Texts link if their wide fingerprints are as close as texts of the given Jaccard
-    similarity on word shingles are; classes are closed over links. The row with the
-    smallest (non-null first) id stays, and of equal ids that with the smallest
-    fingerprint; of fully repeated rows one stays. Texts without a word are one class.
+    Texts link if their sets of word shingles (as 64-bit hashes) have the given Jaccard
+    similarity and their wide fingerprints, which propose the links, are as close as that;
+    classes are closed over links. The row with the smallest (non-null first) id stays, and
+    of equal ids that with the smallest fingerprint; of fully repeated rows one stays. Texts
+    without a word are one class.
     """
     radius = near_duplicate_radius(bits, similarity)
-    keyed = with_fingerprints(docs, F.col(f"`{text_col}`"), words, bits, {"doc_id": F.col(f"`{id_col}`")})
-    prints = durable(keyed)
-    roots = durable(near_classes(prints, bits, radius, 1, similarity))
+    text = F.col(f"`{text_col}`")
+    prints = durable(with_sets(docs, text, words, {"doc_id": F.col(f"`{id_col}`"), "text_hash": F.xxhash64(text)}, bits))
+    near = near_classes(prints, bits, radius, 1, similarity)
+    nodes = prints.groupBy("node", "fp").agg(F.min("text_hash").alias("text_hash"))
+    nodes = nodes.join(near, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    crowded = nodes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    proposed = durable(nodes.join(crowded, "root", "left_semi"))
+    texts = sent_if_small(proposed.select("text_hash").distinct())
+    sets = docs.select(text.alias("t"), F.xxhash64(text).alias("text_hash")).join(texts, "text_hash", "left_semi")
+    sets = with_sets(sets, F.col("t"), words, {"text_hash": F.col("text_hash")}, stored=True).dropDuplicates(["node"])
+    members = durable(proposed.select("root", "node", "fp").join(sets, "node"))
+    roots = components(confirmed_links(members, radius, similarity)).select("node", "root")
     chosen = (
-        prints.groupBy("fp", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"))
+        prints.groupBy("node", "fp", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"))
         .agg(F.count("*").alias("n"))
-        .join(roots, "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("root"))
-        .agg(F.min(F.struct("no_id", "id", "fp")).alias("best"))
+        .join(roots, "node", "left")
+        .groupBy(F.coalesce("root", "node").alias("root"))
+        .agg(F.min(F.struct("no_id", "id", "fp", "node")).alias("best"))
         .select("best.*")
     )
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = with_fingerprints(docs, F.col(f"`{text_col}`"), words, bits, {"row": whole})
-    rows = rows.select("row", "fp", F.coalesce(F.col(f"row.`{id_col}`"), F.lit(0)).alias("id"), F.col(f"row.`{id_col}`").isNull().alias("no_id"))
-    return rows.join(chosen, ["fp", "id", "no_id"], "left_semi").dropDuplicates(["fp", "id", "no_id"]).select("row.*")
+    rows = with_sets(docs, text, words, {"row": whole})
+    rows = rows.select("row", "node", F.coalesce(F.col(f"row.`{id_col}`"), F.lit(0)).alias("id"), F.col(f"row.`{id_col}`").isNull().alias("no_id"))
+    return rows.join(chosen, ["node", "id", "no_id"], "left_semi").dropDuplicates(["node", "id", "no_id"]).select("row.*")

@@ -125,6 +125,18 @@ def test_near_copies_go_and_different_texts_stay(spark):
     assert kept == list(range(60))
 
 
+def test_fingerprints_only_propose(spark, monkeypatch):
+    rng = random.Random(12)
+    line = " ".join(f"l{n}" for n in range(12)) + "\n"
+    own = [" ".join(f"{x}{n}" for n in range(300)) + "\n" + line * 60 for x in "ab"]
+    base = [f"w{n}" for n in range(400)]
+    near = [" ".join("x" if n in changed else w for n, w in enumerate(base)) for changed in (set(), set(range(0, 400, 28)), set(range(3, 400, 80)))]
+    assert jaccard(*own) < 0.1 and jaccard(near[0], near[1]) < 0.8 < jaccard(near[0], near[2])
+    for size in (simhash.PART_SETS, 1):
+        monkeypatch.setattr(simhash, "PART_SETS", size)
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs(spark, *own, *near)).collect()) == [0, 1, 2, 3]
+
+
 def test_one_row_of_each_class_with_all_columns(spark):
     out = simhash.drop_near_duplicates(edge_docs(spark))
     assert out.columns == edge_docs(spark).columns
