@@ -223,7 +223,8 @@ def links(fps: DataFrame, bits: int, radius: int, segments: int, ratio: float =
 
 def near_classes(prints: DataFrame, bits: int, radius: int, segments: int, ratio: float = 0.0) -> DataFrame:
     """(fp, root) of each distinct fingerprint that has a link; ``prints`` hold ``fp`` and ``size``."""
-    distinct = prints.groupBy("fp").agg(F.min("size").alias("size"))
+    # where sizes matter, a fingerprint lies in the band of each size that it has
+    distinct = prints.select("fp", "size").distinct() if ratio > 0 else prints.groupBy("fp").agg(F.min("size").alias("size"))
     return components(links(distinct, bits, radius, segments, ratio)).select(F.col("node").alias("fp"), "root")
 
 

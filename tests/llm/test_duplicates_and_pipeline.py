@@ -137,6 +137,12 @@ def test_fingerprints_only_propose(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs(spark, *own, *near)).collect()) == [0, 1, 2, 3]
 
 
+def test_a_text_and_the_same_text_thrice_are_copies(spark):
+    text = " ".join(f"w{n}" for n in range(300))
+    assert jaccard(text, f"{text} {text} {text}") > 0.95
+    assert [r.doc_id for r in simhash.drop_near_duplicates(docs(spark, text, f"{text} {text}", f"{text} {text} {text}")).collect()] == [0]
+
+
 def test_one_row_of_each_class_with_all_columns(spark):
     out = simhash.drop_near_duplicates(edge_docs(spark))
     assert out.columns == edge_docs(spark).columns
