@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, language_id, licenses, mixing, pii, preferences, resampling, simhash, url_graph
+from . import decontamination, flac, language_id, licenses, mixing, pii, preferences, resampling, simhash, target_sampling, url_graph
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,39 @@ FROM s JOIN i USING (shingle) WHERE s.side = 'd' GROUP BY s.id, i.id HAVING coun
 """
 
 
+def op11_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight, score and rank in the sample drawn towards the benchmark."""
+    found = target_sampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The checksum goes byte by byte over distinct words, with the usual table of 256 entries.
+OP11_SQL = r"""
+WITH RECURSIVE t0 AS (SELECT i, i AS c, 0 AS turn FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, turn + 1 FROM t0 WHERE turn < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t0 WHERE turn = 8),
+low AS (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT 'b', NULL, 0, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+cut AS MATERIALIZED (SELECT side, doc_id, row, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM low),
+each AS MATERIALIZED (SELECT side, row, unnest(words) AS word FROM cut),
+hexed AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM each)),
+sums AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda k: ('0x' || substr(x, k, 2))::BIGINT)),
+         lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, tab),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM each JOIN sums USING (word) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM n, a),
+w AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS total FROM each JOIN sums USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY row),
+d AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features,
+        CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features + n_features) % n_features)) // n_features END::BIGINT AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h
+      FROM cut LEFT JOIN w USING (row) WHERE side = 'd'),
+e AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -188,8 +221,15 @@ def queries() -> dict[str, Query]:
         "op8_urls": op8_urls,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
+        "op11_target_sampling": op11_target_sampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixture": OP4_SQL, "op7_preferences": OP7_SQL, "op8_urls": _op8_sql(), "op10_decontamination": OP10_SQL}
+    return {
+        "op4_mixture": OP4_SQL,
+        "op7_preferences": OP7_SQL,
+        "op8_urls": _op8_sql(),
+        "op10_decontamination": OP10_SQL,
+        "op11_target_sampling": OP11_SQL,
+    }
