@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, language_id, licenses, mixing, pii, preferences, resampling, simhash, target_sampling, url_graph
+from . import decontamination, flac, language_id, licenses, mixing, pii, preferences, ranked_search, resampling, simhash, target_sampling, url_graph
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +209,28 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that match each benchmark item best."""
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH low AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT 'i', item_id, 0, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+each AS MATERIALIZED (SELECT side, id, row, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+items AS (SELECT DISTINCT id AS item_id, term FROM each WHERE side = 'i'),
+a AS (SELECT count(DISTINCT row) AS n_docs, count(*) AS n_all FROM each WHERE side = 'd'),
+n AS (SELECT row, 50 + (50 * count(*) * any_value(n_docs)) // any_value(n_all) AS m FROM each, a WHERE side = 'd' GROUP BY row),
+tf AS (SELECT row, id, term, count(*) AS tf FROM each WHERE side = 'd' AND term IN (SELECT term FROM items) GROUP BY row, id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, a GROUP BY term),
+s AS (SELECT item_id, row, id AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM tf JOIN n USING (row) JOIN w USING (term) JOIN items USING (term) GROUP BY item_id, row, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -222,6 +244,7 @@ def queries() -> dict[str, Query]:
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
         "op11_target_sampling": op11_target_sampling,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -232,4 +255,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_urls": _op8_sql(),
         "op10_decontamination": OP10_SQL,
         "op11_target_sampling": OP11_SQL,
+        "op13_ranked_search": OP13_SQL,
     }
