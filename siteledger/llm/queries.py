@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, language_id, licenses, mixing, pii, preferences, ranked_search, resampling, simhash, target_sampling, url_graph
+from . import decontamination, flac, language_id, licenses, mixing, pii, preferences, ranked_search, resampling, secret_scan, simhash, target_sampling, url_graph
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +210,47 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 """
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def _op12_sql() -> str:
+    """Every rule over every text, without an index. Either case is spelled out, for ASCII letters only."""
+    either = lambda p: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", p)
+    # fixed values: the base rules as the contract gives them
+    base = {
+        "assign": "(%s)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)" % "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))),
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]+",
+    }
+    parts = []
+    for place, rule in enumerate(secret_scan.RULES):
+        more = rule.pattern.replace("'", "''")
+        more = either(more[4:].split(" ")[0]) + " " + more.split(" ", 1)[1] if more.startswith("(?i)bearer") else more
+        pattern = base.get(rule.kind, more)
+        parts.append(
+            f"SELECT row, {place} AS place, '{rule.kind}' AS kind, regexp_extract_all(text, '{pattern}', 0) AS hits, "
+            f"regexp_extract_all(text, '{pattern}', {rule.group}) AS found, string_split_regex(text, '{pattern}') AS pieces, {rule.least} AS least FROM d"
+        )
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT row, place, kind, len(found[i]) >= least AS good, len(hits[i]) AS size,
+        list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS start FROM i),
+s AS (SELECT row, place, kind, start::BIGINT AS start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM p WHERE good),
+g AS (SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+        string_agg(span, ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS spans FROM s GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 documents that match each benchmark item best."""
     return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -244,6 +286,7 @@ def queries() -> dict[str, Query]:
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
         "op11_target_sampling": op11_target_sampling,
+        "op12_secrets": op12_secrets,
         "op13_ranked_search": op13_ranked_search,
     }
 
@@ -255,5 +298,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_urls": _op8_sql(),
         "op10_decontamination": OP10_SQL,
         "op11_target_sampling": OP11_SQL,
+        "op12_secrets": _op12_sql(),
         "op13_ranked_search": OP13_SQL,
     }
