@@ -62,11 +62,16 @@ def validate_readers(readers: DataFrame, expected_key: str = "vendor_key") -> Da
     return checked.withColumn("ok", F.col("error").isNull())
 
 
-def apply_reader_log(log: DataFrame) -> DataFrame:
-    """Install, overwrite and remove as one change log: valid installs only, last one wins."""
-    install = (F.col("op") == "install") & validation_error(F.col("vendor_key")).isNull()
-    effective = with_load_state(log).filter(install | ((F.col("op") == "remove") & is_vendor_key("vendor_key")))
-    return latest(effective, ["vendor_key"], ["load_seq"]).filter(F.col("op") == "install").drop("op")
+def apply_reader_log(log: DataFrame, expected_key: str = "expected_key") -> DataFrame:
+    """Install, overwrite and remove as one change log: valid installs only, last one wins.
+
+    ``expected_key`` names the column of the vendor a reader is installed for or removed
+    from; a reader made for another vendor is refused and leaves that vendor's reader be.
+    """
+    checked = validate_readers(log, expected_key).withColumn("vendor_key", F.col(expected_key))
+    install = (F.col("op") == "install") & F.col("ok")
+    effective = checked.filter(install | ((F.col("op") == "remove") & is_vendor_key("vendor_key")))
+    return latest(effective, ["vendor_key"], ["load_seq"]).filter(F.col("op") == "install").drop("op", "ok", "error")
 
 
 def vendor_ids_by_name(vendors: DataFrame) -> DataFrame:

@@ -118,9 +118,9 @@ def reader_validation(v):
 @query(
     "reader_latest",
     """
-    SELECT vendor_key, load_seq, version FROM (
-        SELECT *, row_number() OVER (PARTITION BY vendor_key ORDER BY load_seq DESC) AS rn FROM v_checked
-        WHERE (op = 'install' AND rule_error IS NULL) OR (op = 'remove' AND vendor_key NOT IN ('', ' bad', 'a/b')))
+    SELECT expected_key AS vendor_key, load_seq, version FROM (
+        SELECT *, row_number() OVER (PARTITION BY expected_key ORDER BY load_seq DESC) AS rn FROM v_checked
+        WHERE expected_key <> 'a/b' AND (op = 'remove' OR op = 'install' AND rule_error IS NULL AND vendor_key = expected_key))
     WHERE rn = 1 AND op = 'install'""",
 )
 def reader_latest(v):

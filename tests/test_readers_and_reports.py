@@ -26,6 +26,11 @@ def catalog(spark, *changes):
     return spark.createDataFrame(rows, READER)
 
 
+def reader_of(key, **changes):
+    """A sound reader in the file named after its vendor."""
+    return {"vendor_key": key, "expected_key": key, "file_name": f"{key}.pmisparser.js"} | changes
+
+
 def vendors(spark, *rows):
     return spark.createDataFrame(list(rows), "id bigint, name string")
 
@@ -38,7 +43,8 @@ def vendors(spark, *rows):
         ({"load_ok": False, "vendor_key": None}, "讀取檔未匯出有效內容"),
         ({"has_meta": False}, "讀取檔缺少 meta"),
         ({"vendor_key": None}, "讀取檔 meta 缺少 vendorKey"),
-        ({"vendor_key": "a/b", "expected_key": "a/b"}, "不是合法廠商名稱"),
+        ({"vendor_key": "a/b"}, "不是合法廠商名稱"),
+        ({"vendor_key": "a/b", "expected_key": "a/b"}, "廠商鍵不合法"),
         ({"vendor_key": "乙"}, "讀取檔廠商鍵(乙)與此廠商(甲)不符"),
         ({"version": ""}, "缺少 version"),
         ({"target_fields_is_list": False}, "須為陣列"),
@@ -66,15 +72,19 @@ def test_log_of_installs(spark):
         {"load_seq": 1, "version": "1"},
         {"load_seq": 2, "version": "2"},
         {"load_seq": 3, "version": "3", "self_test": "false"},
-        {"load_seq": 1, "vendor_key": "乙"},
-        {"load_seq": 2, "vendor_key": "乙", "op": "remove", "version": None},
+        reader_of("乙", load_seq=1),
+        reader_of("乙", load_seq=2, op="remove", version=None),
+        reader_of("丙", load_seq=1, version="1"),
+        reader_of("丙", load_seq=2, version="2", vendor_key="甲"),  # made for another vendor: refused
+        reader_of("丁", load_seq=1, vendor_key="甲", version="8"),
+        reader_of("a/b", load_seq=1),
     )
-    assert [(r.vendor_key, r.version) for r in readers.apply_reader_log(df).collect()] == [("甲", "2")]
+    assert sorted((r.vendor_key, r.version) for r in readers.apply_reader_log(df).collect()) == sorted([("甲", "2"), ("丙", "1")])
 
 
 def test_overview_and_orphans(spark):
     known = vendors(spark, (1, "甲"), (2, "乙"), (3, "丙"))
-    df = catalog(spark, {}, {"vendor_key": "乙", "target_fields": []}, {"vendor_key": "孤兒"})
+    df = catalog(spark, reader_of("甲"), reader_of("乙", target_fields=[]), reader_of("孤兒"))
     rows = {r.vendor_name: (r.installed, r.version, r.target_fields) for r in readers.reader_overview(known, df).collect()}
     assert rows == {"甲": (True, "1.0", "項次、單位"), "乙": (True, "1.0", "-"), "丙": (False, None, "-")}
     assert [r.vendor_key for r in readers.reader_orphans(known, df).collect()] == ["孤兒"]
@@ -99,7 +109,7 @@ def test_bulk_install(spark):
 
 def test_bundled_and_auto_created(spark):
     df = catalog(spark, {}, {"file_name": "x.txt", "vendor_key": "乙"}, {"file_name": "c.pmisparser.js", "vendor_key": "丙"}, {"file_name": "d.pmisparser.js", "has_parse": False})
-    found = readers.bundled_readers(df, vendors(spark, (1, "甲")), catalog(spark, {"vendor_key": "丙"}))
+    found = readers.bundled_readers(df, vendors(spark, (1, "甲")), catalog(spark, reader_of("丙")))
     assert sorted((r.vendor_key, r.vendor_exists, r.installed) for r in found.collect()) == sorted([("甲", True, False), ("丙", False, True)])
     assert sorted(r.name for r in readers.vendors_to_create(df, vendors(spark, (1, "甲"))).collect()) == ["丙"]
 
