@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import column_number, number_as_text
-from ..session import durable
 
 SHEET = ["file_id", "sheet"]
 CELL = [*SHEET, "row", "col"]
@@ -17,8 +16,9 @@ CELL = [*SHEET, "row", "col"]
 def clean_cells(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """Non-empty cells with addresses relative to the sheet's origin.
 
-    Error cells hold a code that looks like a number, so they become empty. Output:
-    file_id, sheet, row, col, num, text (text also spells numbers).
+    Error cells hold a code that looks like a number, so they become empty; a boolean is
+    the text true or false and no number. Output: file_id, sheet, row, col, num, text
+    (text also spells numbers).
     """
     good = cells.filter(F.coalesce(F.col("cell_type") != "e", F.lit(True)))
     good = good.filter(F.col("num_value").isNotNull() | F.col("str_value").isNotNull())
@@ -26,13 +26,15 @@ def clean_cells(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     if sheets is not None:
         good = good.join(sheets.select(*SHEET, "origin_row", "origin_col"), SHEET)
         row, col = row - F.col("origin_row"), col - F.col("origin_col")
-    num = F.when(F.col("str_value").isNull(), F.col("num_value"))
+    truth = F.coalesce(F.col("cell_type") == "b", F.lit(False)) & F.col("num_value").isNotNull()
+    num = F.when(F.col("str_value").isNull() & ~truth, F.col("num_value"))
+    spelled = F.when(truth, (F.col("num_value") != 0).cast("string")).otherwise(number_as_text(num))
     return good.select(
         *SHEET,
         row.alias("row"),
         col.alias("col"),
         num.alias("num"),
-        F.coalesce("str_value", number_as_text(num)).alias("text"),
+        F.coalesce("str_value", spelled).alias("text"),
     )
 
 
@@ -54,42 +56,40 @@ def _clipped(merges: DataFrame, sheets: DataFrame) -> DataFrame:
     return m.filter((F.col("r0") >= 0) & (F.col("c0") >= 0) & (F.col("r0") <= F.col("r1")) & (F.col("c0") <= F.col("c1")))
 
 
-def _covered(merges: DataFrame) -> DataFrame:
-    """One row per covered cell; rows and columns are generated in two steps."""
-    rows = merges.withColumn("row", F.explode(F.sequence("r0", "r1")))
-    return rows.withColumn("col", F.explode(F.sequence("c0", "c1")))
+def _covered(ranges: DataFrame, columns: Sequence[int] | None) -> DataFrame:
+    """One row per covered cell, of the named columns only; rows and columns are generated in two steps."""
+    rows = ranges.withColumn("row", F.explode(F.sequence("r0", "r1")))
+    span = F.sequence("c0", "c1")
+    if columns is not None:
+        span = F.filter(F.array(*[F.lit(c) for c in sorted(set(columns))]), lambda c: c.between(F.col("c0"), F.col("c1")))
+    return rows.withColumn("col", F.explode(span))
 
 
-def _chained_starts(started: DataFrame) -> DataFrame:
+def _with_inherited_starts(started: DataFrame) -> DataFrame:
     """Give a value to ranges whose empty start cell lies inside an earlier range.
 
     Ranges apply in order, so such a start takes the value of the first earlier range
-    that covers it and has one. A range is 'known' once it has a value, 'dead' once it
-    cannot get one, and 'open' before that; a range waits while the first range that
-    could serve it is open. Each round settles at least the earliest open range of a
-    sheet, so the loop ends; disjoint ranges need one round.
+    that covers it and has one. The ranges of a sheet, a few thousand at most, are gone
+    through once in their order, each looking back at those that are settled.
     """
-    open_or_known = F.when(F.col("text").isNull(), "open").otherwise("known")
-    state = durable(started.withColumn("state", open_or_known))
-    while not state.filter(F.col("state") == "open").isEmpty():
-        starts = state.filter(F.col("state") == "open").select(
-            *SHEET, F.col("merge_seq").alias("later"), F.col("r0").alias("row"), F.col("c0").alias("col")
-        )
-        earlier = _covered(state.filter(F.col("state") != "dead")).select(*CELL, "merge_seq", "state", "num", "text")
-        hits = starts.join(earlier, CELL).filter(F.col("merge_seq") < F.col("later"))
-        first = hits.groupBy(*SHEET, F.col("later").alias("merge_seq")).agg(
-            F.min_by(F.struct("state", "num", "text"), "merge_seq").alias("first")
+    fields = ["merge_seq", "r0", "c0", "r1", "c1", "num", "text"]
+    ranges = F.array_sort(F.collect_list(F.struct(*fields)))
+
+    def settle(settled: Column, x: Column) -> Column:
+        covers = F.filter(
+            settled,
+            lambda e: e["text"].isNotNull() & x["r0"].between(e["r0"], e["r1"]) & x["c0"].between(e["c0"], e["c1"]),
         )
-        seen = F.when(F.col("state") != "open", F.col("state")).otherwise(F.coalesce("first.state", F.lit("dead")))
-        state = durable(
-            state.join(first, [*SHEET, "merge_seq"], "left").select(
-                *SHEET, "merge_seq", "r0", "c0", "r1", "c1",
-                F.coalesce("num", "first.num").alias("num"),
-                F.coalesce("text", "first.text").alias("text"),
-                seen.alias("state"),
-            )
-        )
-    return state.drop("state")
+        first = F.get(covers, F.lit(0))
+        inherited = x.withField("num", first["num"]).withField("text", first["text"])
+        return F.concat(settled, F.array(F.when(x["text"].isNotNull(), x).otherwise(inherited)))
+
+    types = {f.name: f.dataType.simpleString() for f in started.schema.fields}
+    empty = F.array().cast("array<struct<" + ",".join(f"{f}:{types[f]}" for f in fields) + ">>")
+    per_sheet = started.groupBy(*SHEET).agg(ranges.alias("ranges"))
+    waiting = F.exists("ranges", lambda x: x["text"].isNull())
+    settled = F.when(waiting, F.aggregate("ranges", empty, settle)).otherwise(F.col("ranges"))
+    return per_sheet.select(*SHEET, F.explode(settled).alias("m")).select(*SHEET, "m.*")
 
 
 def merge_fill(
@@ -101,24 +101,27 @@ def merge_fill(
 ) -> DataFrame:
     """Copy the start value of each merged range to its empty cells.
 
-    Cells that hold a value keep it and pass through without a shuffle; only the covered
-    cells are checked against them. Where ranges overlap the earliest one wins. With
-    ``overlapping=False`` the caller vouches that ranges are disjoint, as the workbook
-    format requires, and the look for chained ranges is skipped. ``columns`` names the
-    columns a layout reads; others are dropped before the work.
+    Cells that hold a value keep it and go straight to the result; beside that they are
+    shuffled once, by address, to be met by the starts of ranges and by the covered cells.
+    Where ranges overlap the earliest one wins. With ``overlapping=False`` the caller
+    vouches that ranges are disjoint, as the workbook format requires, and the look for
+    starts inside other ranges is skipped. ``columns`` names the columns a layout reads;
+    others are dropped before the work.
     """
-    ranges = _clipped(merges, sheets)
-    at_start = cells.select(*SHEET, F.col("row").alias("r0"), F.col("col").alias("c0"), "num", "text")
-    started = ranges.join(at_start, [*SHEET, "r0", "c0"], "left" if overlapping else "inner")
+    ranges = _clipped(merges, sheets).withColumns({"row": F.col("r0"), "col": F.col("c0")})
+    # Both joins read the very same rows and columns, so that they share one shuffle of the cells.
+    held = cells.filter((F.col("row") >= 0) & (F.col("col") >= 0)).select(*CELL, F.col("num").alias("own_num"), F.col("text").alias("own_text"))
+    started = ranges.join(held, CELL, "left" if overlapping else "inner").select(
+        *SHEET, "merge_seq", "r0", "c0", "r1", "c1", F.col("own_num").alias("num"), F.col("own_text").alias("text")
+    )
     if overlapping:
-        started = _chained_starts(started)
+        started = _with_inherited_starts(started)
+    covered = _covered(started.filter(F.col("text").isNotNull()), columns)
+    empty = covered.join(held, CELL, "left").filter(F.col("own_text").isNull() & F.col("own_num").isNull())
+    first = empty.groupBy(*CELL).agg(F.min_by(F.struct("num", "text"), "merge_seq").alias("v"))
     own = cells.select(*CELL, "num", "text")
-    covered = _covered(started.filter(F.col("text").isNotNull()))
     if columns is not None:
-        wanted = F.col("col").isin(list(columns))
-        own, covered = own.filter(wanted), covered.filter(wanted)
-    empty = covered.join(own.select(*CELL), CELL, "left_anti")
-    first = empty.groupBy(*CELL).agg(F.min_by(F.struct("num", "text"), "merge_seq").alias("v"))
+        own = own.filter(F.col("col").isin(list(columns)))
     return own.unionByName(first.select(*CELL, "v.num", "v.text"))
 
 

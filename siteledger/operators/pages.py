@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfkc
-from .ranking import previous_value, running_count
+from .ranking import FAN, previous_value, running_count
 
 ITEMS_PER_BUCKET = 4096
 
@@ -18,12 +18,14 @@ def page_lines(items: DataFrame, keys: Sequence[str] = ("file_id", "page"), buck
 
     The change flag and its running count work bucket by bucket, so one page with very
     many items is spread over tasks. By default a bucket is a run of ITEMS_PER_BUCKET item
-    numbers; where these have gaps, ``bucket`` gives coarser runs. Output: keys, line_no (0-based), text.
+    numbers; where these have gaps, ``bucket`` gives coarser runs. The totals of a page's
+    buckets are added up in two levels, so a page may have any number of buckets. Output:
+    keys, line_no (0-based), text.
     """
     bucket = F.floor(F.col("item_no") / ITEMS_PER_BUCKET) if bucket is None else bucket
-    seen = previous_value(items, keys, "item_no", bucket, "y", "__y")
+    seen = previous_value(items, keys, "item_no", bucket, "y", "__y", FAN)
     breaks = F.col("__y").isNotNull() & (F.col("__y") != F.col("y"))
-    numbered = running_count(seen, keys, ["item_no"], bucket, breaks, "line_no")
+    numbered = running_count(seen, keys, ["item_no"], bucket, breaks, "line_no", FAN)
     pieces = F.array_sort(F.collect_list(F.struct("item_no", "str")))
     text = F.array_join(F.transform(pieces, lambda p: p["str"]), "")
     lines = numbered.groupBy(*keys, "line_no").agg(text.alias("text"))

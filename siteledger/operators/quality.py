@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
 from ..functions.text import trim_wide
-from .ranking import previous_value
+from .ranking import previous_values
 
 # Foreign keys as (child table, column, parent table).
 FOREIGN_KEYS = [
@@ -88,11 +89,16 @@ def amount_mismatch(items: DataFrame) -> DataFrame:
     return checked.filter(F.abs(F.col("today_amount") - F.col("expected_amount")) >= 0.005)
 
 
-def falling_totals(rows: DataFrame, keys: list[str], value: str, days_per_bucket: int = 4096) -> DataFrame:
-    """Rows whose cumulative value is below that of the day before, per key."""
+def falling_totals(rows: DataFrame, keys: list[str], values: Sequence[str], days_per_bucket: int = 4096) -> DataFrame:
+    """Rows where some cumulative value is below that of the day before, per key.
+
+    All values are looked at in one pass; each has a column previous_<value>, and
+    ``falling`` names those that fell.
+    """
     bucket = F.floor(F.col("day_pos") / days_per_bucket)
-    seen = previous_value(rows, keys, "day_pos", bucket, value, "previous")
-    return seen.filter(F.col(value) < F.col("previous"))
+    seen = previous_values(rows, keys, "day_pos", bucket, {f"previous_{v}": v for v in values})
+    fell = F.array_compact(F.array(*[F.when(F.col(v) < F.col(f"previous_{v}"), F.lit(v)) for v in values]))
+    return seen.withColumn("falling", fell).filter(F.size("falling") > 0)
 
 
 def file_consistency(days: DataFrame, items: DataFrame) -> DataFrame:

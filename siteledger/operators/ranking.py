@@ -20,13 +20,34 @@ BUCKET = "__bucket"
 COPY_STEP = 16_384
 
 
+#: Buckets whose totals one task adds up; totals of many more buckets go through a second level.
+FAN = 4096
+
+
+def _earlier_totals(totals: DataFrame, keys: Sequence[str], bucket: str, total: str, out: str, fan: int | None) -> DataFrame:
+    """Adds to each bucket the sum of its group's earlier buckets.
+
+    With ``fan`` (for numeric buckets) runs of so many bucket numbers are summed first, so
+    that a group with any number of buckets is never one task's work: one task sees either
+    the buckets of one run or one row per run.
+    """
+    if fan is None:
+        before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+        return totals.withColumn(out, F.coalesce(F.sum(total).over(before), F.lit(0)))
+    runs = totals.withColumn("__run", F.floor(F.col(bucket) / fan))
+    per_run = runs.groupBy(*keys, "__run").agg(F.sum(total).alias("__sum"))
+    per_run = _earlier_totals(per_run, keys, "__run", "__sum", "__runs_before", None).drop("__sum")
+    within = _earlier_totals(runs, [*keys, "__run"], bucket, total, "__within", None)
+    joined = within.join(per_run, [*keys, "__run"])
+    return joined.withColumn(out, F.col("__within") + F.col("__runs_before")).drop("__within", "__runs_before", "__run")
+
+
 def _with_offsets(
-    base: DataFrame, inner: DataFrame, keys: Sequence[str], bucket: str, total: Column, local: str, out: str
+    base: DataFrame, inner: DataFrame, keys: Sequence[str], bucket: str, total: Column, local: str, out: str, fan: int | None = None
 ) -> DataFrame:
     """Add the totals of earlier buckets to a count made inside each bucket."""
     totals = base.groupBy(*keys, bucket).agg(total.alias("__total"))
-    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bucket, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    offsets = _earlier_totals(totals, keys, bucket, "__total", "__offset", fan).drop("__total")
     joined = inner.join(offsets, [*keys, bucket])
     return joined.withColumn(out, F.col(local) + F.col("__offset")).drop("__offset", local)
 
@@ -92,28 +113,83 @@ def positions_of_copies(
 
 
 def running_count(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, flag: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, flag: Column, out: str, fan: int | None = None
 ) -> DataFrame:
-    """Number of flagged rows up to and including each row."""
+    """Number of flagged rows up to and including each row; ``fan`` as for the totals of buckets."""
     base = df.withColumn(BUCKET, bucket).withColumn("__flag", F.coalesce(flag, F.lit(False)).cast("bigint"))
     inside = W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     inner = base.withColumn("__local", F.sum("__flag").over(inside)).drop("__flag")
-    return _with_offsets(base, inner, keys, BUCKET, F.sum("__flag"), "__local", out).drop(BUCKET)
+    return _with_offsets(base, inner, keys, BUCKET, F.sum("__flag"), "__local", out, fan).drop(BUCKET)
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: str, bucket: Column, value: str, out: str
+def _last_before(tails: DataFrame, keys: Sequence[str], bucket: str, fan: int | None) -> DataFrame:
+    """Replaces ``__tail`` by that of the group's bucket before; runs of buckets as for totals."""
+    if fan is None:
+        return tails.withColumn("__tail", F.lag("__tail").over(W.partitionBy(*keys).orderBy(bucket)))
+    runs = tails.withColumn("__run", F.floor(F.col(bucket) / fan))
+    per_run = runs.groupBy(*keys, "__run").agg(F.max_by("__tail", bucket).alias("__tail"))
+    per_run = _last_before(per_run, keys, "__run", None).withColumnRenamed("__tail", "__run_before")
+    inside = W.partitionBy(*keys, "__run").orderBy(bucket)
+    within = runs.withColumns({"__opens": F.row_number().over(inside) == 1, "__before": F.lag("__tail").over(inside)})
+    joined = within.join(per_run, [*keys, "__run"])
+    tail = F.when(F.col("__opens"), F.col("__run_before")).otherwise(F.col("__before"))
+    return joined.withColumn("__tail", tail).drop("__run", "__opens", "__before", "__run_before")
+
+
+def previous_values(
+    df: DataFrame, keys: Sequence[str], order: str, bucket: Column, values: dict[str, str], fan: int | None = None
 ) -> DataFrame:
-    """The value of the row before, also across a bucket border; null for the first row."""
+    """The values of the row before, also across a bucket border; null for the first row.
+
+    ``values`` maps new columns to the columns they are taken from. All of them travel
+    together: one window inside the buckets, and one row per bucket that carries the last
+    values of all.
+    """
     base = df.withColumn(BUCKET, bucket)
     inside = W.partitionBy(*keys, BUCKET).orderBy(order)
-    inner = base.withColumn("__local", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
-    tails = base.groupBy(*keys, BUCKET).agg(F.max_by(value, order).alias("__tail"))
-    across = W.partitionBy(*keys).orderBy(BUCKET)
-    tails = tails.select(*keys, BUCKET, F.lag("__tail").over(across).alias("__tail"))
-    joined = inner.join(tails, [*keys, BUCKET])
+    held = F.struct(*[F.col(v).alias(o) for o, v in values.items()])
+    inner = base.withColumns({"__local": F.lag(held).over(inside), "__first": F.row_number().over(inside) == 1})
+    tails = base.groupBy(*keys, BUCKET).agg(F.max_by(held, order).alias("__tail"))
+    joined = inner.join(_last_before(tails, keys, BUCKET, fan), [*keys, BUCKET])
     chosen = F.when(F.col("__first"), F.col("__tail")).otherwise(F.col("__local"))
-    return joined.withColumn(out, chosen).drop(BUCKET, "__local", "__first", "__tail")
+    joined = joined.withColumn("__local", chosen)
+    return joined.withColumns({o: F.col(f"__local.{o}") for o in values}).drop(BUCKET, "__local", "__first", "__tail")
+
+
+def previous_value(
+    df: DataFrame, keys: Sequence[str], order: str, bucket: Column, value: str, out: str, fan: int | None = None
+) -> DataFrame:
+    """One value of the row before."""
+    return previous_values(df, keys, order, bucket, {out: value}, fan)
+
+
+def nested_positions(df: DataFrame, keys: Sequence[str], order: str, bucket: Column, within: dict[str, Sequence[str]]) -> DataFrame:
+    """0-based positions of each row, by one order, within several nested groupings at once.
+
+    ``within`` maps each new column to the columns that divide its group further (none for
+    the position within ``keys`` alone). All groupings share one partitioning by (keys,
+    bucket). The totals of all of them come from one aggregate; those of earlier buckets
+    enter each bucket as leading rows with a number of their own, so that a running sum
+    over the bucket gives the position and nothing is joined. Two shuffles for the totals,
+    one for the rows, however many groupings there are.
+    """
+    fine = list(dict.fromkeys(c for columns in within.values() for c in columns))
+    base = df.withColumn(BUCKET, bucket)
+    # Groups may be divided by null values; keys and bucket are never null.
+    totals = base.groupBy(*keys, BUCKET, *fine).agg(F.count(F.lit(1)).alias("__n")).repartition(*keys)
+    for out, columns in within.items():
+        earlier = W.partitionBy(*keys, *columns).orderBy(BUCKET).rangeBetween(W.unboundedPreceding, -1)
+        # One leading row of each group and bucket carries the sum, the others carry none.
+        leads = F.row_number().over(W.partitionBy(*keys, *columns, BUCKET).orderBy(*fine)) == 1
+        totals = totals.withColumn(out, F.when(leads, F.coalesce(F.sum("__n").over(earlier), F.lit(0))).otherwise(0))
+    row = F.struct(*[F.col(c) for c in df.columns]).alias("__row")
+    lead = totals.select(*keys, BUCKET, *fine, F.lit(False).alias("__own"), F.lit(None).cast(df.schema[order].dataType).alias("__order"), *within)
+    own = base.select(*keys, BUCKET, *fine, F.lit(True).alias("__own"), F.col(order).alias("__order"), *[F.lit(1).cast("bigint").alias(o) for o in within], row)
+    both = own.unionByName(lead, allowMissingColumns=True).repartition(*keys, BUCKET)
+    for out, columns in within.items():
+        until = W.partitionBy(*keys, BUCKET, *columns).orderBy("__own", "__order").rowsBetween(W.unboundedPreceding, W.currentRow)
+        both = both.withColumn(out, F.sum(out).over(until) - 1)
+    return both.filter("__own").select("__row.*", *within)
 
 
 def latest(df: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:

@@ -103,8 +103,8 @@ def available_months(v):
     """
     WITH months AS (SELECT file_id, string_agg(m, '、' ORDER BY m) AS months_text
                     FROM (SELECT DISTINCT file_id, substr(log_date_raw, 1, 7) AS m FROM v_days WHERE log_date_raw IS NOT NULL) GROUP BY file_id),
-    counted AS (SELECT s.submission_id, count(k.day_pos) AS n_days FROM v_subs s
-                LEFT JOIN v_kept k ON k.submission_id = s.submission_id GROUP BY s.submission_id),
+    counted AS (SELECT submission_id, sum(n) AS n_days
+                FROM (SELECT submission_id, 1 AS n FROM v_kept UNION ALL SELECT submission_id, 0 FROM v_subs) GROUP BY submission_id),
     judged AS (SELECT s.*, n_days, CASE
         WHEN vendor_name IS NULL THEN '此工程尚未指定廠商,無法自動產生監造報表'
         WHEN reader_key IS NULL THEN '此廠商尚未安裝讀取器,無法自動產生監造報表'
@@ -114,7 +114,7 @@ def available_months(v):
         WHEN n_days = 0 THEN '施工日誌解析失敗:未取得可對應的日誌天數(檔案可能格式不符或無逐日資料)' END AS reason
         FROM v_subs s JOIN counted c ON c.submission_id = s.submission_id LEFT JOIN months m ON m.file_id = s.file_id)
     SELECT submission_id, project_id, period, type, reason IS NULL AS report_generated, reason,
-           CASE WHEN reason IS NULL THEN n_days ELSE 0 END AS n_days FROM judged""",
+           CAST(CASE WHEN reason IS NULL THEN n_days ELSE 0 END AS BIGINT) AS n_days FROM judged""",
 )
 def report_outcome(v):
     return report.report_outcome(v.report_submissions, v.days)
@@ -134,8 +134,9 @@ def sheet_names(v):
 @query(
     "report_sheets",
     """
-    SELECT s.submission_id, coalesce(x.sheet_name, '監造報表') AS sheet_name, x.log_date_raw
-    FROM v_subs s LEFT JOIN v_sheets x ON x.submission_id = s.submission_id""",
+    SELECT submission_id, sheet_name, log_date_raw FROM v_sheets
+    UNION ALL
+    SELECT submission_id, '監造報表', NULL FROM v_subs WHERE submission_id NOT IN (SELECT submission_id FROM v_sheets)""",
 )
 def report_sheets(v):
     sheets = report.report_sheets(v.report_submissions, v.days, BUCKET)
@@ -229,17 +230,21 @@ def log_consistency(v):
 @query(
     "cumulative_consistency",
     """
-    SELECT file_id, item_no, day_pos, cum_qty, previous FROM (
-        SELECT file_id, item_no, day_no AS day_pos, cum_qty,
-               lag(cum_qty) OVER (PARTITION BY file_id, item_no ORDER BY day_no) AS previous
-        FROM (SELECT file_id, item_no, day_no, sum(cum_qty) AS cum_qty FROM v_items GROUP BY ALL))
-    WHERE cum_qty < previous""",
+    SELECT * FROM (
+        SELECT file_id, item_no, day_no AS day_pos, cum_qty, cum_amount,
+               lag(cum_qty) OVER w AS previous_cum_qty, lag(cum_amount) OVER w AS previous_cum_amount
+        FROM (SELECT file_id, item_no, day_no, sum(cum_qty) AS cum_qty, CAST(sum(cents) AS BIGINT) / 100.0::DOUBLE AS cum_amount
+              FROM (SELECT i.file_id, item_no, i.day_no, i.l_linenumber + l_quantity AS cum_qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
+                    FROM (SELECT *, CAST(l_linenumber AS VARCHAR) AS item_no FROM v_work) i) GROUP BY ALL)
+        WINDOW w AS (PARTITION BY file_id, item_no ORDER BY day_no))
+    WHERE cum_qty < previous_cum_qty OR cum_amount < previous_cum_amount""",
 )
 def cumulative_consistency(v):
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     per_day = v.work.groupBy(
         "file_id", F.col("l_linenumber").cast("string").alias("item_no"), F.col("day_no").alias("day_pos")
-    ).agg(F.sum(F.col("l_quantity") + F.col("l_linenumber")).alias("cum_qty"))
-    return quality.falling_totals(per_day, ["file_id", "item_no"], "cum_qty")
+    ).agg(F.sum(F.col("l_quantity") + F.col("l_linenumber")).alias("cum_qty"), (cents / 100).alias("cum_amount"))
+    return quality.falling_totals(per_day, ["file_id", "item_no"], ["cum_qty", "cum_amount"]).drop("falling")
 
 
 @query(

@@ -220,9 +220,12 @@ def with_views(body: str) -> str:
             todo.extend(_names(VIEWS[name]))
     if not needed:
         return body.strip()
-    # A view may only use views listed before it, which is the order of VIEWS.
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed)
     text = body.strip()
+    # A view that several statements read is made once.
+    readers = [text, *[VIEWS[name] for name in needed]]
+    shared = {name for name in needed if sum(len(re.findall(rf"\b(?:FROM|JOIN) {name}\b", t)) for t in readers) > 1}
+    # A view may only use views listed before it, which is the order of VIEWS.
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in shared else ''}({VIEWS[name]})" for name in VIEWS if name in needed)
     if text.startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{text.removeprefix('WITH RECURSIVE ')}"
     if text.startswith("WITH "):

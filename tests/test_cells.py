@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from siteledger.operators.cells import clean_cells, merge_fill, one_sheet, sheet_values
 from siteledger.schemas import schema_of
 
@@ -10,7 +12,7 @@ def cells(spark, rows, sheet="s", file_id=1):
     """rows: (row, col, type, value)"""
     data = []
     for r, c, kind, value in rows:
-        num = float(value) if kind in "ne" else None
+        num = float(value) if kind in "neb" else None
         data.append((file_id, sheet, 0, r, c, kind, num, value if kind == "s" else None))
     return spark.createDataFrame(data, schema_of("cells"))
 
@@ -33,6 +35,11 @@ def test_error_cells_become_empty(spark):
     assert {r.text for r in df.collect()} == {"35", "x"}
 
 
+def test_booleans_are_no_numbers(spark):
+    df = clean_cells(cells(spark, [(0, 0, "b", 1), (0, 1, "b", 0), (0, 2, "n", 1)]))
+    assert {r.col: (r.num, r.text) for r in df.collect()} == {0: (None, "true"), 1: (None, "false"), 2: (1.0, "1")}
+
+
 def test_origin_is_subtracted(spark):
     df = clean_cells(cells(spark, [(5, 3, "n", 1)]), sheets(spark, origin=(4, 2)))
     assert grid(df) == {(1, 1): 1}
@@ -106,6 +113,40 @@ def test_chained_start_waits_for_an_earlier_open_range(spark):
     assert want[8, 5] == "first"
 
 
+def test_chain_of_ten_ranges(spark):
+    """Each range starts in the last cell of the one before; given out of order as well."""
+    ranges = [(n, n, n + 1, n + 1) for n in range(10)]
+    df = clean_cells(cells(spark, [(0, 0, "s", "x"), (4, 5, "s", "y")]))
+    filled = merge_fill(df, sheets(spark, 20, 20), merges(spark, ranges).orderBy("r0", ascending=False))
+    assert grid(filled) == fill_loop({(0, 0): "x", (4, 5): "y"}, ranges, 20, 20)
+    reverse = ranges[::-1]
+    assert grid(merge_fill(df, sheets(spark, 20, 20), merges(spark, reverse))) == fill_loop({(0, 0): "x", (4, 5): "y"}, reverse, 20, 20)
+
+
+def test_filling_is_one_plan_with_four_shuffles(spark, tmp_path):
+    """No job runs while the plan is built, and stored cells are shuffled once for both joins."""
+    rng = random.Random(7)
+    values = [(rng.randrange(40), rng.randrange(12), "n", i) for i in range(200)]
+    clean_cells(cells(spark, values)).write.parquet(str(tmp_path / "c"))
+    merges(spark, [(n, 1, n + 1, 3) for n in range(30)]).write.parquet(str(tmp_path / "m"))
+    size = sheets(spark, 40, 12)
+    size.write.parquet(str(tmp_path / "s"))
+    stored = [spark.read.parquet(str(tmp_path / n)) for n in "csm"]
+    stored[1] = F.broadcast(stored[1])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("merge-fill", "plan")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = merge_fill(*stored)
+        assert not tracker.getJobIdsForGroup("merge-fill")
+        filled.collect()
+        final = filled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 2**20))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert final.count("+- Exchange hashpartitioning") <= 4 and "ReusedExchange" in final, final
+
+
 def test_fixed_addresses(spark):
     df = clean_cells(cells(spark, [(1, 4, "s", "晴"), (6, 5, "n", 0.5), (2, 2, "s", "other")]))
     row = sheet_values(df, {"am": (1, "E", "text"), "pct": (6, "F", "num"), "none": (9, "Z", "text")}).collect()[0]

@@ -215,8 +215,12 @@ def test_checks(spark):
 def test_log_checks(spark):
     items = spark.createDataFrame([(1, 1, 5.0, 2.0, 10.0), (1, 2, 5.0, 2.0, 11.0), (1, 3, 5.0, None, 9.0)], "file_id int, day_pos int, unit_price double, today_qty double, today_amount double")
     assert [(r.day_pos, r.expected_amount) for r in quality.amount_mismatch(items).collect()] == [(2, 10.0)]
-    totals = spark.createDataFrame([(1, 1, 5.0), (1, 2, 4.0), (1, 3, 4.0), (2, 1, 9.0)], "file_id int, day_pos int, cum_qty double")
-    assert [(r.file_id, r.day_pos) for r in quality.falling_totals(totals, ["file_id"], "cum_qty", 2).collect()] == [(1, 2)]
+    totals = spark.createDataFrame(
+        [(1, 1, 5.0, 1.0), (1, 2, 4.0, 3.0), (1, 3, 4.0, 2.0), (1, 4, 3.0, 1.0), (1, 5, None, 5.0), (1, 6, 1.0, None), (2, 1, 9.0, 9.0)],
+        "file_id int, day_pos int, cum_qty double, cum_amount double",
+    )
+    fell = quality.falling_totals(totals, ["file_id"], ["cum_qty", "cum_amount"], 2).collect()
+    assert sorted((r.file_id, r.day_pos, r.falling) for r in fell) == [(1, 2, ["cum_qty"]), (1, 3, ["cum_amount"]), (1, 4, ["cum_qty", "cum_amount"])]
     days = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (2, 1, "a"), (2, 2, "b")], "file_id int, day_pos int, project_name string")
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (2, 2)], "file_id int, day_pos int")
     assert {r.file_id: r.consistent for r in quality.file_consistency(days, rows).collect()} == {1: True, 2: False}

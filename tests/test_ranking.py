@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteledger.operators import ranking
 from siteledger.operators.nesting import nest_children
-from siteledger.operators.ranking import Place, latest, positions, positions_of, positions_of_copies, previous_value, running_count
+from siteledger.operators.ranking import Place, latest, nested_positions, positions, positions_of, positions_of_copies, previous_value, previous_values, running_count
 
 
 def skewed(spark, n=900):
@@ -94,3 +94,44 @@ def test_copies_get_consecutive_places(spark, monkeypatch):
     for k in (1, 2):
         want += [(*row, i) for i, row in enumerate(sorted(r for r in rows if r[0] == k))]
     assert got == sorted(want)
+
+
+def test_two_levels_of_totals(spark):
+    """Buckets of one row each: runs of them are summed first."""
+    rows, df = skewed(spark, 400)
+    narrow = F.col("pos").cast("bigint")
+    got = {(r.k, r.pos): r.n for r in running_count(df, ["k"], ["pos"], narrow, F.col("flag"), "n", fan=16).collect()}
+    seen = {(r.k, r.pos): r.p for r in previous_value(df, ["k"], "pos", narrow, "v", "p", fan=16).collect()}
+    want, before = {}, {}
+    for k, group in by_group(rows).items():
+        n, last = 0, None
+        for r in group:
+            n += r[2]
+            want[k, r[1]], before[k, r[1]], last = n, last, r[3]
+    assert got == want and seen == before
+
+
+def test_several_previous_values_in_one_pass(spark):
+    rows, df = skewed(spark)
+    found = previous_values(df, ["k"], "pos", F.floor(F.col("pos") / 13), {"p": "v", "q": "flag"})
+    want = {(k, r[1]): (group[i - 1][3], group[i - 1][2]) if i else (None, None) for k, group in by_group(rows).items() for i, r in enumerate(group)}
+    assert {(r.k, r.pos): (r.p, r.q) for r in found.collect()} == want
+
+
+def test_nested_positions(spark):
+    rng = random.Random(9)
+    rows = [(0 if rng.random() < 0.6 else rng.randrange(1, 5), n, rng.choice(["a", "b", None]), rng.choice(["x", "y"])) for n in range(700)]
+    df = spark.createDataFrame(rows, "k int, pos bigint, a string, b string").repartition(7)
+    within = {"all": [], "by_a": ["a"], "by_ab": ["a", "b"]}
+    found = nested_positions(df, ["k"], "pos", F.floor(F.col("pos") / 40), within)
+    assert found.columns == ["k", "pos", "a", "b", *within]
+    want, seen = {}, {}
+    for k, pos, a, b in rows:
+        places = []
+        for group in ((k,), (k, a), (k, a, b)):
+            places.append(seen.setdefault((len(group), group), 0))
+            seen[len(group), group] += 1
+        want[pos] = tuple(places)
+    assert {r.pos: (r["all"], r.by_a, r.by_ab) for r in found.collect()} == want
+    text = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("Exchange hashpartitioning") <= 3 and "Join" not in text, text
