@@ -55,3 +55,32 @@ def nest_children(
         F.coalesce("page", F.lit(0)).alias("page"),
         F.coalesce(out, empty).alias(out),
     )
+
+
+def nest_kinds(
+    parents: DataFrame,
+    keys: Sequence[str],
+    parent_fields: Sequence[str],
+    kinds: dict[str, tuple[DataFrame, str, Sequence[str]]],
+    page_size: int = PAGE_SIZE,
+) -> DataFrame:
+    """Children of several kinds under their parents, all by one aggregate.
+
+    ``kinds`` maps each array to (table, position column, fields). Parents and children
+    are one union, tagged by kind, so a parent costs no join however many kinds there
+    are. Positions count from 0; those from ``page_size`` on go to further rows (``page``
+    1, 2, …), which carry the keys and no parent fields, so no array grows without bound.
+    Page 0 of a family without a parent row is left out.
+    """
+    parent = F.struct(*parent_fields)
+    tagged = parents.select(*keys, F.lit(0).alias("page"), F.struct(parent.alias("p")).alias("__parent"))
+    for out, (table, pos, fields) in kinds.items():
+        place = F.col(pos).cast("bigint")
+        child = F.struct(place.alias("pos"), F.struct(*fields).alias("child")).alias(f"__{out}")
+        rows = table.select(*keys, F.floor(place / page_size).cast("int").alias("page"), child)
+        tagged = tagged.unionByName(rows, allowMissingColumns=True)
+    arrays = [F.array_sort(F.collect_list(f"__{out}")).alias(f"__{out}") for out in kinds]
+    nested = tagged.groupBy(*keys, "page").agg(F.first("__parent", ignorenulls=True).alias("__parent"), *arrays)
+    known = nested.filter((F.col("page") > 0) | F.col("__parent").isNotNull())
+    shown = [F.transform(f"__{out}", lambda e: e["child"]).alias(out) for out in kinds]
+    return known.select(*keys, "page", *[F.col(f"__parent.p.{f}").alias(f) for f in parent_fields], *shown)

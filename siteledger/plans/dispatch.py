@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cells import CELL, SHEET
+from ..operators.nesting import nest_kinds
 from ..schemas import DAY_FIELDS, ITEM_FIELDS
+from ..session import shared_folder
 from ..sources.lists import installed_readers
 from . import form_sheet, matrix_sheet, text_log
 
@@ -39,6 +43,32 @@ class FileInputs:
         return FileInputs(part(self.cells), part(self.sheets), part(self.pages))
 
 
+def cells_of(table: DataFrame, files: DataFrame, layout: str) -> DataFrame:
+    """The rows of the readable files of a layout; files with a parse error yield nothing."""
+    return table.join(sound_files(files).filter(F.col("layout") == layout).select("file_id"), "file_id", "left_semi")
+
+
+def sound_files(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("parse_error").isNull()) if "parse_error" in files.columns else files
+
+
+def store_cells(spark: SparkSession, parts: dict[str, DataFrame], buckets: int | None = None) -> DataFrame:
+    """Write the filled cells of each layout once and return them as stored.
+
+    The table is partitioned by layout and bucketed by (file, sheet): a layout reads its own
+    folder only, and what it gathers per sheet, or per row of a sheet, needs no shuffle. It
+    lies in the shared folder. By default there are as many buckets as shuffle partitions.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
+    name = f"filled_cells_{uuid.uuid4().hex}"
+    layouts = [part.select(*CELL, "num", "text", F.lit(layout).alias("layout")) for layout, part in parts.items()]
+    # Each task writes one bucket, so that a bucket is one file per layout.
+    rows = reduce(DataFrame.unionByName, layouts).repartition(n, *SHEET)
+    writer = rows.write.partitionBy("layout").bucketBy(n, *SHEET).sortBy(*SHEET)
+    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 @dataclass(frozen=True)
 class Extraction:
     """What a layout yields; labour has (trade, headcount), machines have (name, qty)."""
@@ -117,7 +147,7 @@ def extract_all(
     ``files`` comes from :func:`file_layouts`. Files with a parse error are left to the
     report outcome and yield no days.
     """
-    sound = files.filter(F.col("parse_error").isNull()) if "parse_error" in files.columns else files
+    sound = sound_files(files)
     parts = [
         layout(inputs.of(sound, name))
         for name, layout in (LAYOUTS if layouts is None else layouts).items()
@@ -134,6 +164,16 @@ def extract_all(
     )
 
 
+def nest_days(found: Extraction) -> DataFrame:
+    """Each day with its rows, labour and machines as ordered arrays; see :func:`nest_kinds` for pages."""
+    kinds = {
+        "rows": (found.items, "item_pos", ITEM_FIELDS),
+        "labour": (found.labour, "pos", ["trade", "headcount"]),
+        "machines": (found.machines, "pos", ["name", "qty"]),
+    }
+    return nest_kinds(found.days, DAY_KEY, DAY_FIELDS, kinds)
+
+
 def first_days(days: DataFrame) -> DataFrame:
     """Only the first day of each file, found by an aggregate instead of a window."""
     first = days.groupBy("file_id").agg(F.min("day_pos").alias("day_pos"))

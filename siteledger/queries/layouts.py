@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cells as cell_ops
-from ..operators.nesting import nest_children
 from ..plans import dispatch, form_sheet, matrix_sheet, text_log
 from ..schemas import ITEM_FIELDS
-from ..sources.star_views import DAY_ITEMS
 from .registry import query
 
 # Cells -----------------------------------------------------------------------
@@ -202,19 +200,19 @@ def matrix_items(v):
     return matrix_sheet.matrix_items(_matrix_cells(v))
 
 
-@query(
-    "matrix_unpivot",
-    """
-    SELECT d.file_id, d.day_pos, i.l_linenumber AS item_pos, CAST(i.seq AS VARCHAR) AS item_no,
+_MATRIX_ITEMS = """
+    SELECT d.file_id, d.day_pos, i.l_linenumber AS item_pos, CAST(i.seq AS VARCHAR) AS item_no, 'Item ' || i.l_linenumber AS item_name,
+           'M2' AS unit, CAST(i.l_linenumber * 100 AS DOUBLE) AS unit_price, CAST(i.l_linenumber * 10 AS DOUBLE) AS contract_qty,
            m.qty AS today_qty, m.cents / 100.0::DOUBLE AS today_amount, m.qty * 2 AS cum_qty
     FROM v_matrix_days d JOIN v_matrix_items i ON i.file_id = d.file_id
     LEFT JOIN v_matrix m ON m.file_id = d.file_id AND m.day_no = d.day_no AND m.l_linenumber = i.l_linenumber
     UNION ALL
-    SELECT file_id, day_pos, 0, '壹', NULL, NULL, NULL FROM v_matrix_days""",
-)
+    SELECT file_id, day_pos, 0, '壹', '直接工程費', NULL, NULL, NULL, NULL, NULL, NULL FROM v_matrix_days"""
+
+
+@query("matrix_unpivot", _MATRIX_ITEMS)
 def matrix_unpivot(v):
-    rows = matrix_sheet.matrix_unpivot(_matrix_cells(v))
-    return rows.select("file_id", "day_pos", "item_pos", "item_no", "today_qty", "today_amount", "cum_qty")
+    return matrix_sheet.matrix_unpivot(_matrix_cells(v))
 
 
 @query(
@@ -234,7 +232,12 @@ def _extraction(v):
         v.vendors.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor_name")), "vendor_id", "left"
     )
     files = dispatch.file_layouts(v.files, named.select("id", "vendor_name"), v.readers)
-    cells = _form_cells(v).unionByName(_matrix_cells(v))
+    form = cell_ops.merge_fill(
+        cell_ops.clean_cells(dispatch.cells_of(v.form_cells, files, "form_sheet")),
+        v.form_sheets, v.form_merges, overlapping=False, columns=form_sheet.USED_COLUMNS,
+    )
+    matrix = cell_ops.clean_cells(dispatch.cells_of(v.matrix_cells, files, "matrix_sheet"))
+    cells = dispatch.store_cells(v.spark, {"form_sheet": form, "matrix_sheet": matrix})
     return dispatch.extract_all(files, dispatch.FileInputs(cells, v.form_sheets, v.pages))
 
 
@@ -242,44 +245,63 @@ _FILES = """
     files AS (SELECT p.id AS file_id, r.layout FROM v_projects p JOIN v_vendors v ON v.id = p.vendor_id
               JOIN v_readers r ON r.vendor_key = v.name WHERE p.id % 23 <> 0)"""
 
-
-@query(
-    "all_days",
-    f"""
-    WITH {_FILES}
-    SELECT t.file_id, day_pos, log_date_raw, cents / 100.0::DOUBLE AS cum_amount
-    FROM v_day_totals t JOIN files f ON f.file_id = t.file_id WHERE layout = 'text_log'
+_DAYS = """
+    SELECT t.file_id, day_pos, 'Project ' || t.file_id AS project_name, log_date_raw,
+           CASE layout WHEN 'text_log' THEN '星期' || ['日', '一', '二', '三', '四', '五', '六'][dayofweek(CAST(log_date_raw AS DATE)) + 1] END AS weekday,
+           CASE layout WHEN 'form_sheet' THEN CASE WHEN day_no % 2 = 0 THEN '晴' ELSE '雨' END END AS weather_am,
+           CAST(NULL AS VARCHAR) AS weather_pm,
+           CASE layout WHEN 'form_sheet' THEN (day_no % 100) / 4.0::DOUBLE END AS planned_pct, CAST(NULL AS DOUBLE) AS actual_pct,
+           CAST(NULL AS INTEGER) AS worker_total, CASE layout WHEN 'text_log' THEN cents / 100.0::DOUBLE END AS cum_amount
+    FROM v_day_totals t JOIN files f ON f.file_id = t.file_id WHERE layout IN ('text_log', 'form_sheet')
+    UNION ALL
+    SELECT t.file_id, day_pos, 'Project ' || t.file_id, strftime(day, '%Y-%m-%d'), ['日', '一', '二', '三', '四', '五', '六'][dayofweek(day) + 1],
+           '晴', '陰', CASE WHEN day_no % 3 <> 0 THEN 0.5::DOUBLE END, (day_no % 100) / 4.0::DOUBLE, NULL, cents / 100.0::DOUBLE
+    FROM v_matrix_days t JOIN files f ON f.file_id = t.file_id WHERE layout = 'matrix_sheet'"""
+
+_ITEMS = f"""
+    SELECT t.file_id, day_pos, item_pos, item_no,
+           CASE layout WHEN 'text_log' THEN replace(item_name, ' ', '') ELSE item_name END AS item_name,
+           CASE WHEN readable THEN unit END AS unit, CASE WHEN readable THEN unit_price END AS unit_price,
+           CASE WHEN readable THEN contract_qty END AS contract_qty,
+           CASE WHEN readable AND (layout = 'text_log' OR l_linestatus <> 'O') THEN today_qty END AS today_qty,
+           CASE WHEN readable AND layout = 'text_log' THEN today_amount END AS today_amount,
+           CASE WHEN readable THEN cum_qty END AS cum_qty
+    FROM (SELECT i.*, layout, layout = 'form_sheet' OR l_linenumber < 7 AS readable FROM v_items i JOIN files f ON f.file_id = i.file_id
+          WHERE layout IN ('text_log', 'form_sheet')) t
     UNION ALL
-    SELECT t.file_id, day_pos, log_date_raw, NULL
+    SELECT m.* FROM ({_MATRIX_ITEMS}) m JOIN files f ON f.file_id = m.file_id AND layout = 'matrix_sheet'"""
+
+_LABOUR = """
+    SELECT t.file_id, day_pos, '大工' AS trade, CAST(day_no % 5 AS DOUBLE) AS headcount
     FROM v_day_totals t JOIN files f ON f.file_id = t.file_id WHERE layout = 'form_sheet'
     UNION ALL
-    SELECT t.file_id, day_pos, strftime(day, '%Y-%m-%d'), cents / 100.0::DOUBLE
-    FROM v_matrix_days t JOIN files f ON f.file_id = t.file_id WHERE layout = 'matrix_sheet'""",
-)
+    SELECT t.file_id, day_pos, '一般工', CAST(day_no % 4 AS DOUBLE)
+    FROM v_matrix_days t JOIN files f ON f.file_id = t.file_id WHERE layout = 'matrix_sheet' AND day_no % 4 > 0"""
+
+_MACHINES = """
+    SELECT t.file_id, day_pos, name, CASE WHEN name = '吊車' THEN CAST(n_items AS DOUBLE) END AS qty
+    FROM v_day_totals t JOIN files f ON f.file_id = t.file_id, (VALUES ('挖土機'), ('吊車')) AS m(name)
+    WHERE layout = 'form_sheet'"""
+
+
+@query("all_days", f"WITH {_FILES} {_DAYS}")
 def all_days(v):
-    return _extraction(v).days.select("file_id", "day_pos", "log_date_raw", "cum_amount")
+    return _extraction(v).days
 
 
-@query(
-    "all_items",
-    f"""
-    WITH {_FILES}
-    SELECT t.file_id, day_pos, item_pos, item_no, CASE WHEN l_linenumber < 7 THEN today_qty END AS today_qty
-    FROM v_items t JOIN files f ON f.file_id = t.file_id WHERE layout = 'text_log'
-    UNION ALL
-    SELECT t.file_id, day_pos, item_pos, item_no, CASE WHEN l_linestatus <> 'O' THEN today_qty END
-    FROM v_items t JOIN files f ON f.file_id = t.file_id WHERE layout = 'form_sheet'
-    UNION ALL
-    SELECT d.file_id, d.day_pos, i.l_linenumber, CAST(i.seq AS VARCHAR), m.qty
-    FROM v_matrix_days d JOIN files f ON f.file_id = d.file_id AND layout = 'matrix_sheet'
-    JOIN v_matrix_items i ON i.file_id = d.file_id
-    LEFT JOIN v_matrix m ON m.file_id = d.file_id AND m.day_no = d.day_no AND m.l_linenumber = i.l_linenumber
-    UNION ALL
-    SELECT d.file_id, day_pos, 0, '壹', NULL FROM v_matrix_days d JOIN files f ON f.file_id = d.file_id
-    WHERE layout = 'matrix_sheet'""",
-)
+@query("all_items", f"WITH {_FILES} {_ITEMS}")
 def all_items(v):
-    return _extraction(v).items.select("file_id", "day_pos", "item_pos", "item_no", "today_qty")
+    return _extraction(v).items
+
+
+@query("all_labour", f"WITH {_FILES} {_LABOUR}")
+def all_labour(v):
+    return _extraction(v).labour.drop("pos")
+
+
+@query("all_machines", f"WITH {_FILES} {_MACHINES}")
+def all_machines(v):
+    return _extraction(v).machines.drop("pos")
 
 
 @query(
@@ -292,44 +314,24 @@ def first_day(v):
     return dispatch.first_days(v.days.select("file_id", "day_pos", "log_date_raw"))
 
 
-_ROW = ", ".join(f"{f} := {f}" for f in ["item_no", "item_name", "unit"])
-
-
-@query(
-    "all_labour",
-    f"""
-    WITH {_FILES}
-    SELECT t.file_id, day_pos, '大工' AS trade, CAST(day_no % 5 AS DOUBLE) AS headcount
-    FROM v_day_totals t JOIN files f ON f.file_id = t.file_id WHERE layout = 'form_sheet'
-    UNION ALL
-    SELECT t.file_id, day_pos, '一般工', CAST(day_no % 4 AS DOUBLE)
-    FROM v_matrix_days t JOIN files f ON f.file_id = t.file_id WHERE layout = 'matrix_sheet' AND day_no % 4 > 0""",
-)
-def all_labour(v):
-    return _extraction(v).labour.drop("pos")
-
-
-@query(
-    "all_machines",
-    f"""
-    WITH {_FILES}
-    SELECT t.file_id, day_pos, name, CASE WHEN name = '吊車' THEN CAST(n_items AS DOUBLE) END AS qty
-    FROM v_day_totals t JOIN files f ON f.file_id = t.file_id, (VALUES ('挖土機'), ('吊車')) AS m(name)
-    WHERE layout = 'form_sheet'""",
-)
-def all_machines(v):
-    return _extraction(v).machines.drop("pos")
+_ROW = ", ".join(f"{f} := {f}" for f in ITEM_FIELDS)
 
 
 @query(
     "days_nested",
     f"""
-    SELECT d.file_id, d.day_pos, 0 AS page, CAST(to_json(list(struct_pack({_ROW}) ORDER BY item_pos)) AS VARCHAR) AS rows_json
-    FROM v_days d JOIN v_items i ON i.file_id = d.file_id AND i.day_pos = d.day_pos GROUP BY ALL""",
+    WITH {_FILES}, days AS ({_DAYS}), items AS ({_ITEMS}), labour AS ({_LABOUR}), machines AS ({_MACHINES}),
+    i AS (SELECT file_id, day_pos, list(struct_pack({_ROW}) ORDER BY item_pos) AS rows FROM items GROUP BY ALL),
+    l AS (SELECT file_id, day_pos, list(struct_pack(trade := trade, headcount := headcount)) AS labour FROM labour GROUP BY ALL),
+    m AS (SELECT file_id, day_pos, list(struct_pack(name := name, qty := qty) ORDER BY name DESC) AS machines FROM machines GROUP BY ALL)
+    SELECT d.*, 0 AS page, coalesce(CAST(to_json(rows) AS VARCHAR), '[]') AS rows_json,
+           coalesce(CAST(to_json(labour) AS VARCHAR), '[]') AS labour_json, coalesce(CAST(to_json(machines) AS VARCHAR), '[]') AS machines_json
+    FROM days d LEFT JOIN i ON i.file_id = d.file_id AND i.day_pos = d.day_pos LEFT JOIN l ON l.file_id = d.file_id AND l.day_pos = d.day_pos
+    LEFT JOIN m ON m.file_id = d.file_id AND m.day_pos = d.day_pos""",
 )
 def days_nested(v):
-    keys = {"file_id": "file_id", "day_pos": "day_pos"}
-    days = v.days.select("file_id", "day_pos")
-    # A sheet holds at most DAY_ITEMS rows, so one array per day is enough here.
-    nested = nest_children(days, v.items, keys, "item_pos", ITEM_FIELDS[:3], "rows", page_size=DAY_ITEMS)
-    return nested.select("file_id", "day_pos", "page", F.to_json("rows", {"ignoreNullFields": "false"}).alias("rows_json"))
+    """All four outputs of the stored cells in one: days with their rows, labour and machines."""
+    nested = dispatch.nest_days(_extraction(v))
+    arrays = ["rows", "labour", "machines"]
+    text = [F.to_json(c, {"ignoreNullFields": "false"}).alias(f"{c}_json") for c in arrays]
+    return nested.select(*[c for c in nested.columns if c not in arrays], *text)

@@ -203,15 +203,12 @@ def report_lines(v):
     "report_lines_display",
     """
     SELECT submission_id, sheet_name, item_pos, item_no, item_name,
-           format('{:,.2f}', unit_price) AS unit_price, format('{:,.2f}', today_qty) AS today_qty,
-           format('{:,.2f}', today_amount) AS today_amount
+           unit, format('{:,.2f}', unit_price) AS unit_price, format('{:,.2f}', contract_qty) AS contract_qty,
+           format('{:,.2f}', today_qty) AS today_qty, format('{:,.2f}', today_amount) AS today_amount, format('{:,.2f}', cum_qty) AS cum_qty
     FROM v_report_lines""",
 )
 def report_lines_display(v):
-    shown = report.lines_display(_lines(v))
-    return shown.select(
-        "submission_id", "sheet_name", "item_pos", "item_no", "item_name", "unit_price", "today_qty", "today_amount"
-    )
+    return report.lines_display(_lines(v)).drop("project_id", "period", "type", "day_pos")
 
 
 @query(

@@ -24,19 +24,27 @@ def build_session(app: str = "siteledger", cores: str | int = "*", shuffle_parti
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, for intermediate tables; named by ``spark.checkpoint.dir``.
+
+    A private folder is used only where none is configured and the master is local.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder before running this job")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return named.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the checkpoint folder shared by the cluster.
 
     The folder named by ``spark.checkpoint.dir`` is used when the session has one.
     A private folder is set only where none is configured and the master is local.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder before running this job")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = shared_folder(df.sparkSession)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from siteledger.operators import ranking
-from siteledger.operators.nesting import nest_children
+from siteledger.operators.nesting import nest_children, nest_kinds
 from siteledger.operators.ranking import Place, latest, nested_positions, positions, positions_of, positions_of_copies, previous_value, previous_values, running_count
 
 
@@ -72,6 +72,17 @@ def test_nesting_pages_keep_every_child(spark):
     assert got == {(1, 0): list(range(10)), (1, 1): list(range(10, 20)), (1, 2): list(range(20, 25)), (2, 0): [99], (3, 0): []}
 
 
+def test_nesting_of_several_kinds(spark):
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    kids = spark.createDataFrame([(1, i, f"k{i}") for i in range(25)] + [(9, 0, "orphan")], "id int, pos int, k string")
+    pets = spark.createDataFrame([(2, 0, "cat"), (1, 0, None)], "id int, pos bigint, pet string")
+    nested = nest_kinds(parents, ["id"], ["name"], {"kids": (kids, "pos", ["k"]), "pets": (pets, "pos", ["pet"])}, page_size=10)
+    got = {(r.id, r.page): (r.name, [k.k for k in r.kids], [p.pet for p in r.pets]) for r in nested.collect()}
+    names = [f"k{i}" for i in range(25)]
+    assert got == {(1, 0): ("a", names[:10], [None]), (1, 1): (None, names[10:20], []), (1, 2): (None, names[20:], []), (2, 0): ("b", [], ["cat"]), (3, 0): ("c", [], [])}
+    assert "Join" not in nested._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_several_positions_at_once(spark):
     rows, df = skewed(spark)
     places = {
