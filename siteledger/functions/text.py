@@ -6,6 +6,8 @@ ideographic space and the byte-order mark.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
@@ -195,10 +197,51 @@ def column_number(letters: str) -> int:
     return index - 1
 
 
+# Blocks whose characters are looked up, as first and last code point. They hold
+# what logs are written with: Latin letters, punctuation, Greek, kana, CJK, compatibility forms.
+NFKC_BLOCKS = [(0x4E00, 0x9FFF), (0x0000, 0x024F), (0x0391, 0x03C9), (0x2000, 0x22FF), (0x2460, 0x257F), (0x3000, 0x30FF), (0x3400, 0x4DBF), (0xFF00, 0xFFEF)]
+
+
+@functools.cache
+def _nfkc_table() -> tuple[str, str, str, str]:
+    """(characters with one-character forms, these forms, a class of them, pattern of texts made of these and plain ones).
+
+    A character is plain if it is normal by itself and neither a combining mark nor the
+    second half of a composition: then a run of such characters is normal as it stands.
+    """
+    halves = {d.split()[1] for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    joins = {int(h, 16) for h in halves} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+
+    def plain(c: str) -> bool:
+        return unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c) and ord(c) not in joins
+
+    codes = [c for first, last in NFKC_BLOCKS for c in range(first, last + 1)]
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in codes}
+    single = {c: f for c, f in forms.items() if c != f and len(f) == 1 and plain(f)}
+
+    def ranges(chosen: Iterable[int]) -> str:
+        """Runs of code points, in the order of the blocks, so that common ones are tried first."""
+        runs: list[list[int]] = []
+        for code in chosen:
+            if runs and runs[-1][1] == code - 1:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code])
+        return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+    known = ranges(c for c in codes if chr(c) in single or (forms[chr(c)] == chr(c) and plain(chr(c))))
+    # ASCII and unified ideographs, which make up most texts, are told apart before the long lists.
+    found = rf"[\x{{A0}}-\x{{33FF}}\x{{FF00}}-\x{{FFEF}}&&[{ranges(map(ord, single))}]]"
+    return "".join(single), "".join(single.values()), found, rf"\A[\x00-\x7F\x{{4E00}}-\x{{9FFF}}[{known}]]*+\z"
+
+
 def nfkc(text: Column | str) -> Column:
-    """Unicode NFKC; Spark has no built-in for it, so text crosses to Arrow batches.
+    """Unicode NFKC, for which Spark has no built-in.
 
-    The helper is nested so that it ships by value and workers need no copy of the package.
+    Characters with a normal form of one character (full-width letters, ideographic
+    blanks) are replaced in place, in texts that else hold only characters that need and
+    join nothing; only other texts cross to Python, in Arrow batches. The helper is nested
+    so that it ships by value and workers need no copy of the package.
     """
 
     def normalize(batch: pd.Series) -> pd.Series:
@@ -209,7 +252,12 @@ def nfkc(text: Column | str) -> Column:
 
         return batch.map(one, na_action="ignore")
 
-    return F.pandas_udf(normalize, StringType())(_col(text))
+    source, forms, found, known = _nfkc_table()
+    given = _col(text)
+    rest = F.pandas_udf(normalize, StringType())(F.when(~given.rlike(known), given))
+    # Only lines that hold such a character are gone through one by one.
+    lines = F.transform(F.split(given, "\n", -1), lambda line: F.when(line.rlike(found), F.translate(line, source, forms)).otherwise(line))
+    return F.coalesce(rest, F.when(given.rlike(found), F.array_join(lines, "\n")).otherwise(given))
 
 
 def any_of(values: Iterable[str]) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_inside_root, trim_wide
+from ..schemas import table_exists
 from .masters import clean_contacts, named_children, single_primary
 from .ranking import latest
 
@@ -117,7 +118,11 @@ def deletion_plan(ledger: DataFrame, gone: DataFrame) -> DataFrame:
     return stored_paths(doomed).filter("safe").select("id", "kind", "path")
 
 
-def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append to a stored table."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def append_rows(df: DataFrame, path: str, key: Sequence[str] = ("id",)) -> None:
+    """Append the rows whose key the stored table does not hold yet; appending the same rows again adds nothing."""
+    spark = df.sparkSession
+    rows = df
+    if table_exists(spark, path):
+        stored = spark.read.schema(df.schema).parquet(path).select(*key)
+        rows = df.join(stored, list(key), "left_anti").select(*df.columns)
+    rows.write.mode("append").parquet(path)

@@ -17,13 +17,13 @@ from ..functions.text import BLANK, CJK_ITEM_IDS, UNITS, any_of, blank_to_null,
 # Blanks that do not end a line.
 GAP = BLANK.replace("\n", "", 1)
 
-# Anchors printed on the form, as patterns.
-PROJECT_NAME = rf"工程名稱[:：]{BLANK}*([^\t\n]+?){BLANK}*(?:\t|日期[:：]|\n)"
-LOG_DATE = rf"日期[:：]{BLANK}*(\d+){BLANK}*年{BLANK}*(\d+){BLANK}*月{BLANK}*(\d+){BLANK}*日{BLANK}*(星期.)?"
+# Anchors printed on the form, as patterns over normalised text.
+PROJECT_NAME = rf"工程名稱:{BLANK}*([^\t\n]+?){BLANK}*(?:\t|日期:|\n)"
+LOG_DATE = rf"日期:{BLANK}*(\d+){BLANK}*年{BLANK}*(\d+){BLANK}*月{BLANK}*(\d+){BLANK}*日{BLANK}*(星期.)?"
 CASE_TOTAL = rf"本案累計金額{BLANK}*([\d,]+\.?\d*)"
 DAY_TOTAL = rf"累{BLANK}*計{BLANK}*\(本日完成金額\)[\s\S]*?\({BLANK}*([\d,]+\.?\d*){BLANK}*\)"
 HEADING = rf"備{GAP}*註"
-FOOTER = rf"[^\n]*?(?:累{GAP}*計{GAP}*\(本日完成金額\)|本案累計金額)|{GAP}*備{GAP}*註[:：]"
+FOOTER = rf"[^\n]*?(?:累{GAP}*計{GAP}*\(本日完成金額\)|本案累計金額)|{GAP}*備{GAP}*註:"
 
 TO_HEADING = rf"(?s)\A.*?{HEADING}[^\n]*(?:\n|\z)"
 FROM_FOOTER = rf"(?s)(?:\A|\n)(?:{FOOTER}).*\z"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ..operators import changes, masters, quality
 from ..operators.nesting import nest_children
 from ..operators.ranking import latest
 from ..plans import status
-from ..sources import lists
+from ..session import shared_folder
+from ..sources import lists, stored
 from ..sources.star_views import AS_OF
 from .registry import query
 
@@ -420,6 +422,23 @@ def merge_changes(v):
     return changes.merge_changes(base, log, "id", "seq")
 
 
+@query(
+    "stored_changes",
+    f"""
+    WITH {_ORDER_CHANGES}
+    SELECT p.id, CASE WHEN upd THEN 'new ' || name ELSE name END AS name, award_amount
+    FROM v_projects p JOIN changed c ON c.id = p.id WHERE NOT del""",
+)
+def stored_changes(v):
+    """The same changes on a stored table: only buckets with changed ids are read and written again."""
+    base, log = _change_log(v)
+    path, buckets = f"{shared_folder(v.spark)}/stored-changes-{uuid.uuid4().hex}", 32
+    stored.write_by_key(base, path, "id", buckets)
+    for _ in range(2):  # a rerun changes nothing
+        stored.change_by_key(v.spark, path, base.schema, log, "id", buckets, lambda rows, c: changes.merge_changes(rows, c, "id", "seq"))
+    return stored.read_by_key(v.spark, path, base.schema).drop(stored.KEY_BUCKET)
+
+
 @query(
     "cascade_delete",
     """

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_of
 from ..operators import quality
-from ..plans import report
+from ..plans import report, submission
+from ..session import shared_folder
 from ..sources.star_views import PAGE_STEP
+from ..sources.stored import staged
 from .registry import query
 
 # Sheets of one day are numbered PAGE_STEP apart; a bucket spans 64 days.
@@ -120,6 +124,68 @@ def report_outcome(v):
     return report.report_outcome(v.report_submissions, v.days)
 
 
+_REQUESTS = """
+    requests AS (SELECT submission_id, CASE WHEN project_id % 29 = 0 THEN -project_id ELSE project_id END AS project_id, type, file_id, parse_error,
+                        period, project_id % 31 = 0 AS bad_period, project_id % 37 <> 0 AS has_file, project_id AS stamp FROM v_subs)"""
+
+
+def _submission_requests(v):
+    """Each submission as it is sent in; some for no project, some with a bad period, some without a file."""
+    p = F.col("project_id")
+    return v.report_submissions.select(
+        "submission_id",
+        F.when(p % 29 == 0, -p).otherwise(p).alias("project_id"),
+        F.when(p % 31 == 0, F.replace("period", F.lit("-"), F.lit("/"))).otherwise(F.concat(F.lit(" "), "period")).alias("period"),
+        "type",
+        F.when(p % 37 != 0, F.concat(F.lit("uploads/"), "submission_id", F.lit(".pdf"))).alias("daily_log_path"),
+        "file_id", "parse_error", p.alias("stamp"),
+    )
+
+
+@query(
+    "submission_job",
+    f"""
+    WITH {_REQUESTS},
+    judged AS (SELECT r.*, p.id IS NULL AS unknown, vendor_id FROM requests r LEFT JOIN v_projects p ON p.id = r.project_id),
+    taken AS (SELECT j.*, v.name AS vendor_name, k.vendor_key AS reader_key FROM judged j LEFT JOIN v_vendors v ON v.id = j.vendor_id
+              LEFT JOIN v_readers k ON k.vendor_key = v.name WHERE NOT unknown AND NOT bad_period AND has_file),
+    months AS (SELECT file_id, string_agg(m, '、' ORDER BY m) AS months_text
+               FROM (SELECT DISTINCT file_id, substr(log_date_raw, 1, 7) AS m FROM v_days WHERE log_date_raw IS NOT NULL) GROUP BY file_id),
+    counted AS (SELECT submission_id, sum(n) AS n_days
+                FROM (SELECT submission_id, 1 AS n FROM v_kept UNION ALL SELECT submission_id, 0 FROM v_subs) GROUP BY submission_id),
+    o AS (SELECT t.*, n_days, CASE
+        WHEN vendor_name IS NULL THEN '此工程尚未指定廠商,無法自動產生監造報表'
+        WHEN reader_key IS NULL THEN '此廠商尚未安裝讀取器,無法自動產生監造報表'
+        WHEN parse_error IS NOT NULL THEN '施工日誌解析失敗:' || parse_error
+        WHEN n_days = 0 AND type = 'monthly' AND months_text IS NOT NULL
+        THEN '此施工日誌沒有 ' || period || ' 的資料;檔案內含月份:' || months_text || '。請改選其中一個月份再產生。'
+        WHEN n_days = 0 THEN '施工日誌解析失敗:未取得可對應的日誌天數(檔案可能格式不符或無逐日資料)' END AS reason
+        FROM taken t JOIN counted c ON c.submission_id = t.submission_id LEFT JOIN months m ON m.file_id = t.file_id),
+    l AS (SELECT submission_id, count(*) AS n_lines FROM v_report_lines GROUP BY submission_id)
+    SELECT j.submission_id, j.project_id, CASE WHEN j.bad_period THEN replace(j.period, '-', '/') ELSE j.period END AS period, j.type,
+           CASE WHEN j.unknown THEN 404 WHEN j.bad_period OR NOT j.has_file THEN 400 ELSE 201 END AS status,
+           CASE WHEN j.unknown THEN '工程不存在' WHEN j.bad_period THEN '週期格式須為 YYYY-MM' WHEN NOT j.has_file THEN '請上傳施工日誌檔' END AS error,
+           CASE WHEN o.submission_id IS NOT NULL THEN j.period || '-05' END AS deadline,
+           CASE WHEN o.submission_id IS NOT NULL THEN reason IS NULL END AS report_generated, reason,
+           CAST(CASE WHEN reason IS NULL THEN n_days WHEN o.submission_id IS NOT NULL THEN 0 END AS BIGINT) AS n_days,
+           CASE WHEN o.submission_id IS NOT NULL AND reason IS NULL
+                THEN 'output/proj_' || j.project_id || '/監造報表_' || j.period || '_' || j.type || '_' || j.stamp || '.xlsx' END AS report_path,
+           CASE WHEN o.submission_id IS NOT NULL AND reason IS NULL THEN n_lines END AS n_lines
+    FROM judged j LEFT JOIN o ON o.submission_id = j.submission_id LEFT JOIN l ON l.submission_id = j.submission_id""",
+)
+def submission_job(v):
+    """Every request with its answer, and the lines that its stored report has after a rerun."""
+    days, items = staged(v.days.drop("worker_total")), staged(v.items.drop("log_date_raw"))
+    run = submission.submit(_submission_requests(v), v.projects, v.vendors, v.readers, v.default_settings, days, items, BUCKET)
+    folder = f"{shared_folder(v.spark)}/submission-job-{uuid.uuid4().hex}"
+    for _ in range(2):  # as after a retry: what is stored stays the same
+        submission.store_run(run, f"{folder}/ledger", f"{folder}/lines")
+    stored = v.spark.read.schema(run.ledger.schema).parquet(f"{folder}/ledger").select(F.col("id").alias("submission_id"), F.col("report_path").alias("stored_path"))
+    lines = v.spark.read.schema(run.lines.schema).parquet(f"{folder}/lines").groupBy("submission_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    answers = run.results.join(stored, "submission_id", "left").join(lines, "submission_id", "left")
+    return answers.withColumn("report_path", F.col("stored_path")).drop("stored_path")
+
+
 @query("report_days", "SELECT submission_id, day_pos, log_date_raw FROM v_kept")
 def report_days(v):
     return report.report_days(v.report_submissions, v.days).select("submission_id", "day_pos", "log_date_raw")

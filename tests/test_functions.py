@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,22 @@ def test_column_letters_round_trip(values):
     assert [text.column_number(s) for s in cases.values()] == list(cases)
 
 
+def test_nfkc_of_many_texts(spark):
+    """Every character by itself and between others, and mixtures, against the standard library."""
+    blocks = [chr(c) for first, last in [(1, 0x600), (0x1100, 0x11FF), (0x1E00, 0x2600), (0x3000, 0x3400), (0xAC00, 0xAC40), (0xF900, 0xFB10), (0xFE00, 0x10000)] for c in range(first, last)]
+    rng = random.Random(5)
+    texts = blocks + [f"a{c}e" for c in blocks] + ["".join(rng.choices(blocks, k=6)) for _ in range(3000)] + ["工程名稱：甲　乙", "e\u0301", "가\u11a8", "ｶﾞ", "", "𝐀①"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", text.nfkc("t").alias("t"))
+    wrong = [(n, texts[n]) for n, t in df.collect() if t != unicodedata.normalize("NFKC", texts[n])]
+    assert wrong == []
+
+
+def test_plain_texts_do_not_cross_to_python(values):
+    *_, known = text._nfkc_table()
+    shown = "第１頁：工程名稱　日期（三） １２３，４５６．７８ Àé ü カナ ABC-12\n"
+    assert values(F.lit(shown).rlike(known), F.lit("e\u0301").rlike(known), F.lit("①㎡").rlike(known)) == [True, False, False]
+
+
 def test_nfkc(values):
     assert values(text.nfkc(F.lit("Ａ１：（年年）")), text.nfkc(F.lit(None).cast("string"))) == ["A1:(年年)", None]
 
