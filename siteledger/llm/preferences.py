@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from ..operators.ranking import previous_values
+from .common import durable, narrow
 
 HEAD, TAIL = "<|{role}|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
 #: Turns of a pair that are rendered into one row; longer pairs go on in further rows.
 PAGE_TURNS = 256
+#: Conversations of one bucket of the ring, about.
+RING_BUCKET = 4096
 
 
 def _head(role: Column) -> Column:
@@ -82,15 +85,30 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 def pairs_by_swap(conversations: DataFrame) -> DataFrame:
     """Turns of preference pairs made from single conversations (conv_id, turn, role, text).
 
-    Chosen is a conversation up to its last assistant turn; rejected is the same with that
-    turn's text taken from the last assistant turn of the next conversation (conv_id + 1).
-    Conversations without an assistant turn, or without such a next one, give no pair.
+    Chosen is the whole conversation. Rejected is the same up to one of its replies, picked
+    by a hash, where it goes another way: it ends with the picked reply of another
+    conversation. Conversations with a reply stand in a ring by a hash of their id, and each
+    takes the reply of the next one, so every one of them gives a pair, whatever gaps the
+    ids (whole numbers) have; a single one takes its own. Rows without id or turn are
+    ignored; of repeated turns the smallest (role, text) stands.
     """
     rows = narrow(conversations, conv_id="conv_id", turn="turn", role="role", text="text").where("conv_id is not null and turn is not null")
-    last = rows.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    donor = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    ends = last.select("conv_id", F.col("last.turn").alias("end")).join(donor, "conv_id")
-    kept = rows.join(ends, "conv_id").where("turn <= end")
-    swapped = F.when((F.col("turn") == F.col("end")) & (F.col("role") == TRAINED_ROLE), F.col("other")).otherwise(F.col("text"))
-    sides = F.array(F.struct(F.lit(True).alias("chosen"), F.col("text").alias("text")), F.struct(F.lit(False).alias("chosen"), swapped.alias("text")))
-    return kept.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.chosen", "turn", "role", "s.text")
+    said = F.min(F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("said")
+    rows = rows.groupBy("conv_id", "turn").agg(said).select("conv_id", "turn", "said.*")
+
+    pick = F.struct(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("pick"), "turn", "text")
+    place = F.conv(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 15), 16, 10).cast("long")  # 60 bits
+    replies = rows.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(pick).alias("p"))
+    ring = durable(replies.select("conv_id", F.col("p.turn").alias("branch"), F.col("p.text").alias("reply"), place.alias("place")))
+    # Hashes are spread evenly, so buckets of them are of one size.
+    width = (1 << 60) // max(1, ring.count() // RING_BUCKET)
+    ring = ring.withColumn("down", F.struct((-F.col("place")).alias("a"), (-F.col("conv_id")).alias("b")))
+    following = previous_values(ring, [], "down", F.floor(-F.col("place") / width), {"other": "reply"})
+    first = ring.select(F.min_by("reply", F.struct("place", "conv_id"))).scalar()
+    following = following.select("conv_id", "branch", F.coalesce("other", first).alias("other"))
+
+    met = rows.join(following, "conv_id")
+    swapped = F.when(F.col("turn") == F.col("branch"), F.col("other")).otherwise(F.col("text"))
+    rejected = F.struct(F.lit(False).alias("chosen"), swapped.alias("text"))
+    sides = F.array_compact(F.array(F.struct(F.lit(True).alias("chosen"), F.col("text").alias("text")), F.when(F.col("turn") <= F.col("branch"), rejected)))
+    return met.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.chosen", "turn", "role", "s.text")

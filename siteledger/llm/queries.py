@@ -86,33 +86,38 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs of all conversations: the last reply against that of the next conversation."""
+    """Preference pairs of all conversations: the whole against one that takes another conversation's reply and ends."""
     found = preferences.format_preferences(preferences.pairs_by_swap(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
-# Here sides differ in their last turn only: it is the completion, and the rest the prompt.
+# The pairs are made anew, then both sides are laid beside each other turn by turn: the first
+# turn that differs ends the prompt. Places in a completion are sums of the earlier lengths.
 OP7_SQL = r"""
 WITH c AS (SELECT conv_id, turn, min((coalesce(role, 'unknown'), coalesce(text, ''))) AS m FROM conversations
            WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 t AS (SELECT conv_id, turn, struct_extract_at(m, 1) AS role, struct_extract_at(m, 2) AS text FROM c),
-l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-e AS (SELECT l.conv_id, l.last, t.text FROM l JOIN t ON t.conv_id = l.conv_id AND t.turn = l.last),
-p AS (SELECT a.conv_id, a.last, a.text AS mine, b.text AS other FROM e a JOIN e b ON b.conv_id = a.conv_id + 1),
-r AS (SELECT p.conv_id, p.last, p.mine, p.other, t.turn, '<|' || t.role || chr(124) || '>' || chr(10) || t.text || '<|end|>' || chr(10) AS line
-      FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn <= p.last),
-g AS (SELECT conv_id, any_value(mine) AS mine, any_value(other) AS other,
-        coalesce(string_agg(line, '' ORDER BY turn) FILTER (WHERE turn < last OR mine = other), '') AS prompt,
-        count(*) FILTER (WHERE turn < last OR mine = other) AS prefix_turns
-      FROM r GROUP BY conv_id),
-h AS (SELECT *, '<|assistant|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail, mine <> other AS apart FROM g)
-SELECT conv_id AS pair_id, 0::BIGINT AS page, prefix_turns, prompt,
-  CASE WHEN apart THEN head || mine || tail ELSE '' END AS chosen,
-  CASE WHEN apart THEN head || other || tail ELSE '' END AS rejected,
-  CASE WHEN apart THEN len(head) || ':' || (len(head) + len(mine) + len(tail)) ELSE '' END AS chosen_mask,
-  CASE WHEN apart THEN len(head) || ':' || (len(head) + len(other) + len(tail)) ELSE '' END AS rejected_mask
-FROM h
+b AS (SELECT conv_id, ('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 15))::BIGINT AS place,
+        arg_max(turn, md5(conv_id || ':' || turn)) AS branch, arg_max(text, md5(conv_id || ':' || turn)) AS reply
+      FROM t WHERE role = 'assistant' GROUP BY conv_id),
+d AS (SELECT conv_id, branch, coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other FROM b WINDOW w AS (ORDER BY place, conv_id)),
+s AS (SELECT t.conv_id, true AS chosen, turn, role, text FROM t JOIN d USING (conv_id)
+      UNION ALL SELECT t.conv_id, false, turn, role, CASE WHEN turn = branch THEN other ELSE text END FROM t JOIN d USING (conv_id) WHERE turn <= branch),
+x AS (SELECT conv_id, min(turn) AS split FROM (
+        SELECT conv_id, turn FROM s GROUP BY conv_id, turn HAVING count(*) < 2 OR min((role, text)) <> max((role, text))) GROUP BY conv_id),
+y AS (SELECT s.*, turn // 256 AS page, split IS NULL OR turn < split AS shared, '<|' || role || chr(124) || '>' || chr(10) AS head, '<|end|>' || chr(10) AS tail
+      FROM s LEFT JOIN x USING (conv_id)),
+z AS (SELECT *, head || text || tail AS line, coalesce(sum(len(head || text || tail)) OVER (PARTITION BY conv_id, page, chosen, shared ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + len(head) AS start FROM y),
+m AS (SELECT *, start || ':' || (start + len(text) + len(tail)) AS span, role = 'assistant' AS counts FROM z)
+SELECT conv_id AS pair_id, page::BIGINT AS page, count(*) FILTER (WHERE chosen AND shared) AS prefix_turns,
+  coalesce(string_agg(line, '' ORDER BY turn) FILTER (WHERE chosen AND shared), '') AS prompt,
+  coalesce(string_agg(line, '' ORDER BY turn) FILTER (WHERE chosen AND NOT shared), '') AS chosen,
+  coalesce(string_agg(line, '' ORDER BY turn) FILTER (WHERE NOT chosen AND NOT shared), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY turn) FILTER (WHERE chosen AND NOT shared AND counts), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY turn) FILTER (WHERE NOT chosen AND NOT shared AND counts), '') AS rejected_mask
+FROM m GROUP BY conv_id, page
 """
 
 

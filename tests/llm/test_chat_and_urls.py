@@ -1,5 +1,6 @@
 """Preference formatting and URL filters."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 from siteledger.llm import preferences, url_graph
 
-from .helpers import native
+from .helpers import CLASH, native
 
 
 def render(turns):
@@ -67,15 +68,56 @@ def test_a_very_long_pair_goes_on_in_further_rows(spark):
     assert [r.chosen for r in got] == ["", "", "<|user|>\nt<|end|>\n"]
 
 
-def test_pairs_by_swap(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 2, "user", "end"), (2, 0, "user", "p"), (2, 1, "assistant", "two"), (3, 0, "user", "alone"), (None, 0, "user", "x")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    out = preferences.format_preferences(preferences.pairs_by_swap(df))
-    got = [(r.pair_id, r.prompt, r.chosen, r.rejected) for r in out.collect()]
-    assert got == [(1, "<|user|>\nq<|end|>\n", "<|assistant|>\none<|end|>\n", "<|assistant|>\ntwo<|end|>\n")]
+CONVERSATION = "conv_id bigint, turn bigint, role string, text string"
+
+
+def pairs_plainly(rows):
+    """The pairs, made by a walk around the ring."""
+    talks = {}
+    for conv, turn, role, text in rows:
+        if conv is not None and turn is not None:
+            new = (role or "unknown", text or "")
+            talk = talks.setdefault(conv, {})
+            talk[turn] = min(talk.get(turn, new), new)
+    digest = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    ring = sorted((int(digest(c)[:15], 16), c) for c, t in talks.items() if any(r == "assistant" for r, _ in t.values()))
+    picked = {c: max((n for n, (r, _) in talks[c].items() if r == "assistant"), key=lambda n: digest(f"{c}:{n}")) for _, c in ring}
+    out = {}
+    for at, (_, c) in enumerate(ring):
+        donor = ring[(at + 1) % len(ring)][1]
+        chosen = [talks[c][n] for n in sorted(talks[c])]
+        rejected = [talks[c][n] for n in sorted(talks[c]) if n < picked[c]] + [("assistant", talks[donor][picked[donor]][1])]
+        n = 0
+        while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+            n += 1
+        out[c] = (n, render(chosen[:n]), render(chosen[n:]), render(rejected[n:]), mask(chosen[n:]), mask(rejected[n:]))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_every_conversation_with_a_reply_gives_a_pair(spark, monkeypatch, bucket):
+    monkeypatch.setattr(preferences, "RING_BUCKET", bucket)
+    rng = random.Random(2)
+    rows = []
+    for conv in rng.sample(range(10**12), 60):  # ids with gaps
+        rows += [(conv, n, rng.choice(["user", "assistant", "user", None]), rng.choice(["a", "b", "é𝕏", "", None])) for n in range(rng.randrange(7))]
+    rows += rows[:30] + [(None, 0, "assistant", "x"), (5, None, "assistant", "x"), (6, 0, "user", "alone")]
+    rng.shuffle(rows)
+    out = preferences.format_preferences(preferences.pairs_by_swap(spark.createDataFrame(rows, CONVERSATION)))
+    got = {r.pair_id: (r.prefix_turns, r.prompt, r.chosen, r.rejected, [tuple(m) for m in r.chosen_mask], [tuple(m) for m in r.rejected_mask]) for r in out.collect()}
+    assert got == pairs_plainly(rows) and len(got) > 25
     assert native(out)
 
 
+def test_pairs_of_edge_cases(spark):
+    extra = ", ".join(f"`{c}` string" for c in CLASH if c != "row") + ", branch string, other string, place string"
+    rows = [(1, 0, "assistant", "one", *["x"] * (len(CLASH) + 2)), (None, 0, "user", "x", *["y"] * (len(CLASH) + 2))]
+    df = spark.createDataFrame(rows, f"{CONVERSATION}, {extra}")
+    alone = preferences.format_preferences(preferences.pairs_by_swap(df)).collect()
+    assert [(r.pair_id, r.prefix_turns, r.chosen, r.rejected) for r in alone] == [(1, 1, "", "")]  # it takes its own reply
+    assert preferences.format_preferences(preferences.pairs_by_swap(df.limit(0))).count() == 0
+
+
 # URLs ----------------------------------------------------------------------------
 
 
