@@ -33,14 +33,28 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
-# Places are 40 bits of md5 of the id; the target level falls out of the sources ordered by how
-# soon they are full. A source's front is the largest run of whole places within its rest;
-# one more place follows, the one that fits the remaining gap best.
-OP4_SQL = r"""
+# Places are 42 bits of md5 of the id; the target level falls out of the sources ordered by how
+# soon they are full. Stratum by stratum, every front of a source is held against the words it
+# should give (front 0 is the empty one), and the nearest is kept, the shorter of two alike.
+def _op4_sql() -> str:
+    strata = []
+    for k in range(len(mixing.STRATA) + 1):
+        strata.append(rf"""
+b{k} AS (SELECT r.source, any_value(t.given) AS before,
+       CASE WHEN r.source_size > 0 THEN floor(r.rest * (coalesce(sum(p.words) FILTER (WHERE p.stratum <= {k}), 0)::DOUBLE / r.source_size))::BIGINT ELSE 0 END - any_value(t.given) AS budget
+     FROM r JOIN t{k} t ON t.source IS NOT DISTINCT FROM r.source LEFT JOIN p ON p.source IS NOT DISTINCT FROM r.source GROUP BY r.source, r.source_size, r.rest),
+f{k} AS (SELECT source, -1 AS last, 0::BIGINT AS until FROM r
+     UNION ALL SELECT source, place, sum(words) OVER (PARTITION BY source ORDER BY place)::BIGINT FROM p WHERE stratum = {k}),
+e{k} AS MATERIALIZED (SELECT b.source, before, arg_min((last, until), (abs(budget - until), until, -last)) AS best
+     FROM b{k} b JOIN f{k} f ON f.source IS NOT DISTINCT FROM b.source GROUP BY b.source, before),
+t{k + 1} AS MATERIALIZED (SELECT source, before + struct_extract_at(best, 2) AS given, struct_extract_at(best, 1) AS last FROM e{k}),""")
+    edge = " ".join(f"WHEN {k} THEN (SELECT last FROM t{k + 1} t WHERE t.source IS NOT DISTINCT FROM p.source)" for k in range(len(mixing.STRATA) + 1))
+    stratum = " ".join(f"WHEN size * {n} > rest THEN {k}" for k, n in enumerate(mixing.STRATA))
+    return rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 10))::BIGINT AS place
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 11))::BIGINT // 4 AS place
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, 2 * source_size AS most, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s0),
@@ -51,21 +65,18 @@ s3 AS (SELECT *, (goal - full_before) / weight_left AS level, row_number() OVER
 s4 AS (SELECT arg_min(level, k) FILTER (WHERE most::DOUBLE >= level * weight) AS level FROM s3),
 s5 AS (SELECT source, source_size, least(most::DOUBLE, coalesce(s4.level * weight, most::DOUBLE)) AS target FROM s1, s4),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS passes FROM s5),
-r AS (SELECT *, target - passes * source_size AS rest FROM s),
-p AS (SELECT source, place, sum(size) AS words FROM d GROUP BY source, place),
-c AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) AS until FROM p),
-f AS (SELECT r.source, coalesce(min(c.place) FILTER (WHERE c.until > r.rest), 1099511627776) AS edge
-      FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source GROUP BY r.source),
-g AS (SELECT f.source, f.edge, any_value(r.rest) - coalesce(sum(p.words) FILTER (WHERE p.place < f.edge), 0) AS gap
-      FROM f JOIN p ON f.source IS NOT DISTINCT FROM p.source JOIN r ON r.source IS NOT DISTINCT FROM f.source GROUP BY f.source, f.edge),
-b AS (SELECT g.source, arg_min(p.place, (abs(g.gap - p.words), p.place)) AS extra
-      FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source
-      WHERE p.place >= g.edge AND p.words > 0 AND p.words < 2 * g.gap GROUP BY g.source)
-SELECT d.doc_id, d.source, d.size, r.source_size, r.target,
-       d.size * (r.passes + CASE WHEN r.passes < 2 AND (d.place < f.edge OR d.place = coalesce(b.extra, -1)) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
-JOIN f ON f.source IS NOT DISTINCT FROM d.source
-LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source
+r AS MATERIALIZED (SELECT *, floor(target - passes * source_size)::BIGINT AS rest FROM s),
+q AS MATERIALIZED (SELECT d.*, source_size, target, passes, CASE {stratum} ELSE {len(mixing.STRATA)} END AS stratum FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+p AS MATERIALIZED (SELECT source, stratum, place, sum(size)::BIGINT AS words FROM q WHERE passes < 2 GROUP BY source, stratum, place),
+t0 AS (SELECT source, 0::BIGINT AS given FROM r WHERE passes < 2),{"".join(strata)}
+g AS MATERIALIZED (SELECT p.*, place <= CASE stratum {edge} END AS front, rest - given AS gap
+     FROM p JOIN t{len(strata)} t ON t.source IS NOT DISTINCT FROM p.source JOIN r ON r.source IS NOT DISTINCT FROM p.source),
+h AS (SELECT source, arg_min((place, stratum), (abs(gap - CASE WHEN front THEN -words ELSE words END), place, stratum)) AS flip
+      FROM g WHERE abs(gap - CASE WHEN front THEN -words ELSE words END) < abs(gap) GROUP BY source)
+SELECT q.doc_id, q.source, q.size, q.source_size, q.target,
+       q.size * (q.passes + CASE WHEN coalesce(g.front, false) <> coalesce(h.flip = (q.place, q.stratum), false) THEN 1 ELSE 0 END) AS taken
+FROM q LEFT JOIN g ON g.source IS NOT DISTINCT FROM q.source AND g.stratum = q.stratum AND g.place = q.place
+LEFT JOIN h ON h.source IS NOT DISTINCT FROM q.source
 """
 
 
@@ -298,7 +309,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_mixture": OP4_SQL,
+        "op4_mixture": _op4_sql(),
         "op7_preferences": OP7_SQL,
         "op8_urls": _op8_sql(),
         "op10_decontamination": OP10_SQL,

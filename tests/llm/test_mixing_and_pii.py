@@ -1,6 +1,7 @@
 """Mixing to target weights and personal data."""
 
 import collections
+import math
 import random
 import re
 
@@ -46,24 +47,75 @@ def test_targets_and_taken_words(spark):
         assert r.size == len(rows[r.doc_id][1].split()) and r.source_size == sizes[r.source]
         assert abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 20 for s in sizes)  # the longest text has 40 words
+    assert all(abs(taken[s] - want[s]) <= 2 for s in sizes)  # texts of one word make up for longer ones
     assert sorted(got) == sorted(mixing.mixture(df.repartition(7)).collect())
 
 
-def test_the_front_is_that_of_a_sorted_walk(spark):
+def plain_fronts(rows, rest, source_size):
+    """Given words and the documents taken once more, by a sorted walk through each stratum of (place, size)."""
+    strata = collections.defaultdict(list)
+    for place, size in sorted(rows):
+        strata[next((k for k, n in enumerate(mixing.STRATA) if size * n > rest), len(mixing.STRATA))].append((place, size))
+    given, seen, taken = 0, 0, {}
+    for k in range(len(mixing.STRATA) + 1):
+        seen += sum(size for _, size in strata[k])
+        budget, best, until = math.floor(rest * (seen / source_size)) - given, 0, [0]
+        for _, size in strata[k]:
+            until.append(until[-1] + size)
+        best = min(range(len(until)), key=lambda n: (abs(budget - until[n]), until[n], -n))
+        given += until[best]
+        taken |= {(k, place): n < best for n, (place, _) in enumerate(strata[k])}
+    return given, taken
+
+
+def test_fronts_are_those_of_a_sorted_walk(spark):
     rows = mixing.durable(mixing.sized(mixed_corpus(spark)[0]))
     plans = {r.source: r for r in mixing.plan(rows).collect()}
     by_source = collections.defaultdict(list)
     for r in rows.collect():
         by_source[r.source].append((r.place, r.size))
+    assert any(p.passes < 2 for p in plans.values())
     for source, plan in plans.items():
-        rest, until = plan.target - plan.passes * plan.source_size, 0
-        for place, size in sorted(by_source[source]):
-            if plan.passes < 2 and until + size > rest:
-                assert place >= plan.edge
-                break
-            until += size
-            assert plan.passes == 2 or place < plan.edge
+        if plan.passes < 2:
+            given, taken = plain_fronts(by_source[source], plan.rest, plan.source_size)
+            assert {key: key[1] < plan.edges[key[0]] for key in taken} == taken
+            assert plan.flip is None or plan.flip.left < abs(plan.rest - given)
+
+
+def test_one_document_of_half_a_source_blocks_nothing(spark):
+    sizes = [100] * 500 + [50_000]
+    rows = [(1000 * s + i, "w " * n, f"s{s:02d}") for s in range(9) for i, n in enumerate(sizes)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size
+    # every multiple of 100 up to twice the source can be mixed
+    assert all(abs(taken[s] - t) <= 50 for s, t in target.items())
+    assert len(set(target.values())) > 1
+
+
+def test_null_ids_are_placed_by_their_texts(spark):
+    rows = [(None, "w " * n, s) for s in ("a", "b", "c") for n in range(1, 200)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    # half a document of the smallest stratum, which is 1/512 of the rest, and the rest's rounding
+    assert all(abs(taken[r.source] - r.target) <= r.source_size / 1024 + 1 for r in got)
+
+
+def test_shards_are_written_in_their_random_order(spark, tmp_path):
+    df, _ = mixed_corpus(spark)
+    mixed = mixing.mix(df, levels=2)
+    mixing.write_shards(mixed, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("mix_shard=*/*.parquet"))
+    assert {f.parent.name for f in files} == {f"mix_shard={n}" for n in range(4)}
+    for file in files:
+        ranks = [r.mix_rank for r in spark.read.parquet(str(file)).collect()]
+        assert ranks == sorted(ranks)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == mixed.count()
 
 
 def test_shards_own_disjoint_blocks_and_all_copies(spark):
