@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siteledger.llm import decontamination, graph, simhash
@@ -190,6 +191,30 @@ def test_contained_items_match_plain_search(spark):
     assert native(found)
 
 
+def test_hits_asked_for_are_reached_by_items_at_the_threshold():
+    for probes in (12, 16, 20, 24, 28):
+        hits = decontamination.least_hits(probes)
+        chance = [math.comb(probes, k) * 0.8**k * 0.2 ** (probes - k) for k in range(probes + 1)]
+        assert sum(chance[:hits]) <= decontamination.MISS < sum(chance[: hits + 1])
+    assert decontamination.least_hits(12, 1.0) == 12 and decontamination.least_hits(12, 0.01) == 1
+
+
+def test_documents_meet_the_items_of_their_size_class(spark):
+    sizes = spark.createDataFrame([(n,) for n in (1, 15, 16, 255, 256, 65535, 65536, 1 << 30)], "n int")
+    assert [r[0] for r in sizes.select(decontamination.size_class(F.col("n"))).collect()] == [0, 0, 1, 1, 2, 3, 4, 4]
+    items = spark.createDataFrame([(1, " ".join(f"a{n}" for n in range(9))), (2, " ".join(f"b{n}" for n in range(404)))], "item_id bigint, text string")
+    probes = decontamination.class_probes(decontamination.item_index(items, "item_id", "text", 5)).collect()
+    count = collections.Counter((r.item_id, r.size_class) for r in probes)
+    assert count == {**{(1, k): 5 for k in range(5)}, (2, 2): 20, (2, 3): 24, (2, 4): 28}
+    assert {(r.size_class, r.enough) for r in probes if r.item_id == 2} == {(2, 6), (3, 9), (4, 11)} and {r.enough for r in probes if r.item_id == 1} == {4}
+    # exactly as many shingles as the threshold asks for, at the edge of a class (320 of 400 and 16 of 20), and one fewer
+    twenty = spark.createDataFrame([(3, " ".join(f"c{n}" for n in range(24)))], "item_id bigint, text string")
+    texts = [" ".join(f"b{n}" for n in range(324)), " ".join(f"b{n}" for n in range(323)), " ".join(f"c{n}" for n in range(20)), " ".join(f"c{n}" for n in range(19))]
+    long = " ".join(f"x{n}" for n in range(70_000)) + " " + texts[0] + " " + texts[2]
+    found = decontamination.contained_items(docs(spark, *texts, long), items.unionByName(twenty)).collect()
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in found} == {(0, 2, 320), (2, 3, 16), (4, 2, 320), (4, 3, 16)}
+
+
 def test_both_ways_to_the_candidates_agree(spark, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
     df = docs(spark, "x one two three four five six seven eight y", "one two three four five", "other")
