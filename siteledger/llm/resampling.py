@@ -140,7 +140,15 @@ def toxic_grams(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = counts.agg((F.sum("toxic") + 0.5).alias("t"), (F.sum("other") + 0.5).alias("o"))
     ratio = F.log(F.col("t") / (sizes[0] + 1.0)) - F.log(F.col("o") / (sizes[1] + 1.0))
     grams = counts.select("gram", (ratio - STRICT * F.sqrt(1 / F.col("t") + 1 / F.col("o"))).alias("toxicity"))
-    table = grams.where("toxicity > 0").orderBy(F.desc("toxicity"), "gram").limit(TOXIC_GRAMS).toPandas()
+    # the cut is found by counts, so that no partition sends more than what is kept
+    strong = durable(grams.where("toxicity > 0"))
+    edge = kth_largest(strong.select(F.col("toxicity").alias("key")), TOXIC_GRAMS)
+    above = strong.where(F.col("toxicity") > F.lit(edge))
+    ties = strong.where(F.col("toxicity") == F.lit(edge))
+    left = TOXIC_GRAMS - above.count()
+    place = -F.shiftright("gram", 11).cast("double")  # exact as a double; equal toxicity goes by the hash
+    last = kth_largest(ties.select(place.alias("key")), left)
+    table = above.unionByName(ties.where(place >= F.lit(last))).toPandas()
     gram = table["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(gram)
     return gram[order], table["toxicity"].to_numpy(np.float64)[order]

@@ -146,3 +146,17 @@ def test_a_few_toxic_words_in_ordinary_text_are_enough(spark):
     labels = spark.createDataFrame([(n, 1, int(n >= 300)) for n in range(0, 400, 2)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r.kept for r in resampling.quality_sample(df, labels).collect()}
     assert sum(got[n] for n in range(300)) >= 295 and not any(got[n] for n in range(300, 400))
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 10_000])
+def test_strongest_toxic_grams_match_a_full_sort(spark, monkeypatch, most):
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(40)]
+    rows = [(" ".join(rng.choices(words[:25] if n % 3 else words[15:], k=30)), int(n % 3 == 0)) for n in range(300)]
+    texts = spark.createDataFrame(rows, "text string, toxic int").repartition(5)
+    gram, toxicity = resampling.toxic_grams(texts)
+    assert (np.diff(gram.astype(object)) > 0).all() and len(gram) > 10
+    monkeypatch.setattr(resampling, "TOXIC_GRAMS", most)
+    some, strength = resampling.toxic_grams(texts)
+    order = np.lexsort((gram.view(np.int64), -toxicity))[:most]
+    assert dict(zip(some, strength)) == dict(zip(gram[order], toxicity[order]))
