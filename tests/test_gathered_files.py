@@ -53,3 +53,33 @@ def test_cells_of_gathered_files_are_not_shuffled(spark):
     days = matrix_sheet.real_days(cell_ops.clean_cells(v.matrix_cells))
     plan = days._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "day_" in line]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrix_outputs_join_nothing_by_day(spark):
+    cells = cell_ops.clean_cells(StarViews(spark, SF).matrix_cells)
+    assert "Join" not in plan_of(matrix_sheet.matrix_labour(cells))
+    shuffled = [line for line in plan_of(matrix_sheet.matrix_unpivot(cells)).splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in shuffled if "day_row" in line]
+
+
+def test_disjoint_ranges_and_headers_shuffle_no_cells(spark):
+    v = StarViews(spark, SF)
+    clean = cell_ops.clean_cells(v.form_cells)
+    filled = cell_ops.merge_fill(clean, v.form_sheets, v.form_merges, overlapping=False)
+    shuffled = [line for line in plan_of(filled).splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in shuffled if "row#" in line and "col#" in line]
+
+
+def test_extraction_stores_no_cells(spark, monkeypatch):
+    from siteledger.plans import dispatch
+    from siteledger.queries import layouts
+
+    def refuse(*_):
+        raise AssertionError("cells are stored")
+
+    monkeypatch.setattr(dispatch, "store_cells", refuse)
+    assert layouts._extraction(StarViews(spark, SF)).labour.columns == ["file_id", "day_pos", "pos", "trade", "headcount"]
