@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cells import CELL, SHEET
+from ..operators.cells import CELL, SHEET, Area
 from ..operators.nesting import nest_kinds
 from ..schemas import DAY_FIELDS, ITEM_FIELDS
 from ..session import shared_folder
@@ -25,12 +25,18 @@ class FileInputs:
     """Tables a layout may read: filled cells, sheet list, page texts.
 
     A table that carries a ``layout`` column (stored partitioned by it, which is known at
-    upload) is pruned by a filter; any other table is joined to the list of files.
+    upload) is pruned by a filter; any other table is joined to the list of files. Where
+    the cells of a form can be had area by area, ``form_area`` gives them (filled, of sound
+    form files only), and the form layout makes no cells it does not read.
     """
 
     cells: DataFrame
     sheets: DataFrame
     pages: DataFrame
+    form_area: Callable[[Area], DataFrame] | None = None
+
+    def form_cells(self, area: Area) -> DataFrame:
+        return self.cells if self.form_area is None else self.form_area(area)
 
     def of(self, files: DataFrame, layout: str) -> FileInputs:
         ids = files.filter(F.col("layout") == layout).select("file_id")
@@ -40,7 +46,7 @@ class FileInputs:
                 return table.filter(F.col("layout") == layout).drop("layout")
             return table.join(ids, "file_id", "left_semi")
 
-        return FileInputs(part(self.cells), part(self.sheets), part(self.pages))
+        return FileInputs(part(self.cells), part(self.sheets), part(self.pages), self.form_area)
 
 
 def cells_of(table: DataFrame, files: DataFrame, layout: str) -> DataFrame:
@@ -91,12 +97,13 @@ def read_text_log(inputs: FileInputs) -> Extraction:
 
 
 def read_form_sheets(inputs: FileInputs) -> Extraction:
-    extras = form_sheet.form_extras(inputs.cells)
+    extras = form_sheet.form_extras(inputs.form_cells(form_sheet.EXTRA_AREA))
     labour = extras.filter(F.col("trade").isNotNull()).select(*DAY_KEY, F.col("row").alias("pos"), "trade", "headcount")
     machines = extras.filter(F.col("machine").isNotNull()).select(
         *DAY_KEY, F.col("row").alias("pos"), F.col("machine").alias("name"), F.col("machine_qty").alias("qty")
     )
-    return Extraction(form_sheet.form_days(inputs.cells, inputs.sheets), form_sheet.form_items(inputs.cells), labour, machines)
+    days = form_sheet.form_days(inputs.form_cells(form_sheet.HEADER_AREA), inputs.sheets)
+    return Extraction(days, form_sheet.form_items(inputs.form_cells(form_sheet.ITEM_AREA)), labour, machines)
 
 
 def read_matrix(inputs: FileInputs) -> Extraction:

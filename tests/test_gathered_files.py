@@ -83,3 +83,29 @@ def test_extraction_stores_no_cells(spark, monkeypatch):
 
     monkeypatch.setattr(dispatch, "store_cells", refuse)
     assert layouts._extraction(StarViews(spark, SF)).labour.columns == ["file_id", "day_pos", "pos", "trade", "headcount"]
+
+
+def test_lines_of_some_files_stay_spread_over_tasks(spark):
+    v = StarViews(spark, SF)
+    some = v.of_files(v.table("orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file_id")))
+    plan = plan_of(some.work)
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in line or "Exchange hashpartitioning(file_id" in line]
+    assert shuffled and all("REPARTITION_BY_NUM" in line for line in shuffled)
+    assert rows(some.work) == rows(v.work.filter("file_id % 3 = 0"))
+
+
+@pytest.mark.parametrize("area, read", [("HEADER_AREA", form_sheet.form_days), ("ITEM_AREA", form_sheet.form_items), ("EXTRA_AREA", form_sheet.form_extras)])
+def test_cells_of_an_area_give_the_same_rows(spark, area, read):
+    v, wanted = StarViews(spark, SF), getattr(form_sheet, area)
+    sheets = [v.form_sheets] if read is form_sheet.form_days else []
+    cells = cell_ops.clean_cells(v.form_cells_in(wanted))
+    assert rows(read(cells, *sheets)) == rows(read(cell_ops.clean_cells(v.form_cells), *sheets))
+    assert cells.filter(~F.col("col").isin(list(wanted.columns))).isEmpty()
+
+
+def test_extras_make_no_item_cells(spark):
+    from siteledger.queries import layouts
+
+    v = StarViews(spark, SF)
+    assert "p_name" not in plan_of(layouts.sheet_extras(v))
+    assert "p_name" not in plan_of(layouts.all_machines(v))
