@@ -109,3 +109,34 @@ def test_extras_make_no_item_cells(spark):
     v = StarViews(spark, SF)
     assert "p_name" not in plan_of(layouts.sheet_extras(v))
     assert "p_name" not in plan_of(layouts.all_machines(v))
+
+
+def test_days_gathered_by_file_meet_their_submissions_unshuffled(spark):
+    from siteledger.queries import reports
+
+    v = StarViews(spark, SF)
+    shuffled = [line for line in plan_of(reports.report_sheets(v)).splitlines() if "Exchange hashpartitioning" in line]
+    # lines for the days, lines and orders for the submissions, submissions by file; no month, bucket or submission
+    assert not [line for line in shuffled if "day_pos" in line or "__bucket" in line or "submission_id" in line or "month" in line]
+
+
+def test_crowded_files_get_the_same_sheets(spark, tmp_path):
+    from siteledger.plans import report
+
+    v = StarViews(spark, lines_of(tmp_path, spark))
+    days = v.days.select("file_id", "day_pos", "log_date_raw")
+    subs = spark.createDataFrame(
+        [("a", 1, "1995-03", "monthly", 1), ("b", 1, "x", "supervision", 1), ("c", 1, "1990-01", "monthly", 1), ("d", 2, "1990-01", "supervision", -3), ("e", 2, None, None, 1)],
+        "submission_id string, project_id bigint, period string, type string, file_id bigint",
+    )
+    subs = subs.unionByName(v.days.select(F.concat(F.lit("f"), "file_id").alias("submission_id"), F.col("file_id").alias("project_id"), F.lit("x").alias("period"), F.lit("supervision").alias("type"), "file_id").distinct())
+    lines = v.table("lineitem").select(F.col("l_orderkey").alias("file_id"))
+    spread = spread_of(lines, "file_id", crowded_rows=100)
+    assert len(spread.crowded) == 1
+
+    def sheets(known):
+        return rows(report.report_sheets(subs, days, 64, known).select("submission_id", "file_id", "day_pos", "sheet_name"))
+
+    assert sheets(spread) == sheets(None) == sheets(spread_of(lines, "file_id"))
+    columns = ["submission_id", "day_pos", "log_date_raw"]
+    assert rows(report.report_days(subs, days, spread).select(columns)) == rows(report.report_days(subs, days).select(columns))
