@@ -221,6 +221,12 @@ def test_plain_texts_do_not_cross_to_python(values):
     assert values(F.lit(shown).rlike(known), F.lit("e\u0301").rlike(known), F.lit("①㎡").rlike(known)) == [True, False, False]
 
 
+def test_texts_to_normalise_are_not_looked_up_in_the_jvm(spark):
+    df = spark.createDataFrame([("Ａ　ｂ",)], "t string").select(text.nfkc("t").alias("t"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and df.first().t == "A b"
+
+
 def test_nfkc(values):
     assert values(text.nfkc(F.lit("Ａ１：（年年）")), text.nfkc(F.lit(None).cast("string"))) == ["A1:(年年)", None]
 
