@@ -66,6 +66,24 @@ def test_matrix_outputs_join_nothing_by_day(spark):
     assert not [line for line in shuffled if "day_row" in line]
 
 
+@pytest.mark.parametrize("area, read", [("DAY_AREA", matrix_sheet.matrix_days), ("DAY_AREA", matrix_sheet.real_days), ("LABOUR_AREA", matrix_sheet.matrix_labour)])
+def test_matrix_cells_of_an_area_give_the_same_rows(spark, tmp_path, area, read):
+    v = StarViews(spark, lines_of(tmp_path, spark))
+    v.by_file = spread_of(v.table("lineitem").select(F.col("l_orderkey").alias("file_id")), "file_id", crowded_rows=100)
+    wanted = getattr(matrix_sheet, area)
+    cells = cell_ops.clean_cells(v.matrix_cells_in(wanted))
+    assert rows(read(cells)) == rows(read(cell_ops.clean_cells(v.matrix_cells)))
+    assert cells.filter("sheet = 'so'").filter(~F.col("col").isin(list(wanted.columns)) | (F.col("row") < 7)).isEmpty()
+
+
+def test_matrix_days_gather_no_items(spark):
+    from siteledger.queries import layouts
+
+    gathered = [line for line in plan_of(layouts.matrix_days(StarViews(spark, SF))).splitlines() if "Exchange hashpartitioning" in line]
+    # items whose columns are read (none), days, files
+    assert len(gathered) == 3
+
+
 def test_disjoint_ranges_and_headers_shuffle_no_cells(spark):
     v = StarViews(spark, SF)
     clean = cell_ops.clean_cells(v.form_cells)
