@@ -26,14 +26,16 @@ class FileInputs:
 
     A table that carries a ``layout`` column (stored partitioned by it, which is known at
     upload) is pruned by a filter; any other table is joined to the list of files. Where
-    the cells of a form can be had area by area, ``form_area`` gives them (filled, of sound
-    form files only), and the form layout makes no cells it does not read.
+    the cells of a form can be had area by area, ``form_area`` gives them (of sound form files
+    only), and the form layout makes no cells it does not read. Merged ranges of forms whose
+    header cells are not filled are ``form_merges``, which must be disjoint and end above the items.
     """
 
     cells: DataFrame
     sheets: DataFrame
     pages: DataFrame
     form_area: Callable[[Area], DataFrame] | None = None
+    form_merges: DataFrame | None = None
 
     def form_cells(self, area: Area) -> DataFrame:
         return self.cells if self.form_area is None else self.form_area(area)
@@ -46,7 +48,7 @@ class FileInputs:
                 return table.filter(F.col("layout") == layout).drop("layout")
             return table.join(ids, "file_id", "left_semi")
 
-        return FileInputs(part(self.cells), part(self.sheets), part(self.pages), self.form_area)
+        return FileInputs(part(self.cells), part(self.sheets), part(self.pages), self.form_area, self.form_merges)
 
 
 def cells_of(table: DataFrame, files: DataFrame, layout: str) -> DataFrame:
@@ -102,7 +104,7 @@ def read_form_sheets(inputs: FileInputs) -> Extraction:
     machines = extras.filter(F.col("machine").isNotNull()).select(
         *DAY_KEY, F.col("row").alias("pos"), F.col("machine").alias("name"), F.col("machine_qty").alias("qty")
     )
-    days = form_sheet.form_days(inputs.form_cells(form_sheet.HEADER_AREA), inputs.sheets)
+    days = form_sheet.form_days(inputs.form_cells(form_sheet.HEADER_AREA), inputs.sheets, inputs.form_merges)
     return Extraction(days, form_sheet.form_items(inputs.form_cells(form_sheet.ITEM_AREA)), labour, machines)
 
 

@@ -158,3 +158,46 @@ def test_crowded_files_get_the_same_sheets(spark, tmp_path):
     assert sheets(spread) == sheets(None) == sheets(spread_of(lines, "file_id"))
     columns = ["submission_id", "day_pos", "log_date_raw"]
     assert rows(report.report_days(subs, days, spread).select(columns)) == rows(report.report_days(subs, days).select(columns))
+
+
+def test_form_headers_gather_day_counts_and_join_nothing(spark):
+    """Neither lines with their columns nor cells are shuffled, only the files and days of the lines."""
+    from siteledger.queries import layouts
+
+    plan = plan_of(layouts.form_sheet_days(StarViews(spark, SF)))
+    assert "Join" not in plan and "l_partkey" not in plan
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and not [line for line in shuffled if "sheet" in line]
+
+
+def test_day_counts_are_those_of_placed_lines(spark, tmp_path):
+    v = StarViews(spark, lines_of(tmp_path, spark))
+    columns = ["file_id", "day_no", "day_pos", "log_date_raw", "n_items"]
+    assert rows(v.day_counts.select(columns)) == rows(v.day_totals.select(columns))
+    v.by_file = spread_of(v.table("lineitem").select(F.col("l_orderkey").alias("file_id")), "file_id", crowded_rows=100)
+    apart = StarViews(spark, str(tmp_path))
+    apart.by_file = v.by_file
+    assert len(v.by_file.crowded) == 1 and rows(apart.day_counts.select(columns)) == rows(v.day_totals.select(columns))
+
+
+def test_headers_fill_ranges_as_merge_fill_does(spark):
+    """Origins, edges, empty starts, sheets without cells or without a listing."""
+    from siteledger.schemas import schema_of
+
+    def cells_on(file_id, sheet, values):
+        return [(file_id, sheet, r, c, float(v) if isinstance(v, int) else None, str(v)) for (r, c), v in values.items()]
+
+    filled = {(0, 0): "a", (1, 2): 45950, (2, 0): "p", (6, 3): 7, (6, 16): "own", (30, 30): "far"}
+    names = [(1, "(1)"), (1, "(2)"), (1, "(3)"), (2, "(1)"), (2, "(4)"), (3, "x")]
+    cells = spark.createDataFrame([x for f, n in names[:4] + [(9, "(1)")] for x in cells_on(f, n, filled)], "file_id bigint, sheet string, row int, col int, num double, text string")
+    sizes = {(1, "(2)"): (1, 2, 100, 250), (1, "(3)"): (0, 0, 6, 10)}
+    sheets = spark.createDataFrame([(f, n, i, *sizes.get((f, n), (0, 0, 100, 250))) for i, (f, n) in enumerate(names)], schema_of("sheets"))
+    ranges = [(0, 0, 1, 1), (1, 2, 1, 40), (2, 0, 3, 2), (6, 3, 6, 17), (4, 0, 5, 200)]
+    merges = [(f, n, i, *x) for f, n in [(1, "(1)"), (2, "(1)"), (2, "(4)"), (9, "(1)")] for i, x in enumerate(ranges)]
+    merges += [(1, "(2)", i, a + 1, b + 2, c + 1, d + 2) for i, (a, b, c, d) in enumerate([*ranges, (-1, 0, -1, 90)])]
+    merges += [(1, "(3)", i, *x) for i, x in enumerate(ranges)]
+    merged = spark.createDataFrame(merges, schema_of("merges"))
+    plain = form_sheet.form_days(cell_ops.merge_fill(cells, sheets, merged, overlapping=False), sheets)
+    found = form_sheet.form_days(cells, sheets, merged)
+    assert rows(found) == rows(plain) and found.count() == 5
+    assert {(r.file_id, r.day_pos): (r.project_name, r.planned_pct) for r in found.collect()}[(1, 1)] == ("p", 7)
