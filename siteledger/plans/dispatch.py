@@ -29,6 +29,7 @@ class FileInputs:
     the cells of a form can be had area by area, ``form_area`` gives them (of sound form files
     only), and the form layout makes no cells it does not read. Merged ranges of forms whose
     header cells are not filled are ``form_merges``, which must be disjoint and end above the items.
+    ``matrix_area`` gives the cells of a matrix in the same way.
     """
 
     cells: DataFrame
@@ -36,10 +37,14 @@ class FileInputs:
     pages: DataFrame
     form_area: Callable[[Area], DataFrame] | None = None
     form_merges: DataFrame | None = None
+    matrix_area: Callable[[Area], DataFrame] | None = None
 
     def form_cells(self, area: Area) -> DataFrame:
         return self.cells if self.form_area is None else self.form_area(area)
 
+    def matrix_cells(self, area: Area) -> DataFrame:
+        return self.cells if self.matrix_area is None else self.matrix_area(area)
+
     def of(self, files: DataFrame, layout: str) -> FileInputs:
         ids = files.filter(F.col("layout") == layout).select("file_id")
 
@@ -48,7 +53,7 @@ class FileInputs:
                 return table.filter(F.col("layout") == layout).drop("layout")
             return table.join(ids, "file_id", "left_semi")
 
-        return FileInputs(part(self.cells), part(self.sheets), part(self.pages), self.form_area, self.form_merges)
+        return FileInputs(part(self.cells), part(self.sheets), part(self.pages), self.form_area, self.form_merges, self.matrix_area)
 
 
 def cells_of(table: DataFrame, files: DataFrame, layout: str) -> DataFrame:
@@ -109,9 +114,10 @@ def read_form_sheets(inputs: FileInputs) -> Extraction:
 
 
 def read_matrix(inputs: FileInputs) -> Extraction:
-    days = matrix_sheet.matrix_days(inputs.cells)
-    labour = matrix_sheet.matrix_labour(inputs.cells)
-    return Extraction(days, matrix_sheet.matrix_unpivot(inputs.cells), labour, _no_extras(days, "name", "qty"))
+    of_days, of_heads, of_values = (inputs.matrix_cells(a) for a in (matrix_sheet.DAY_AREA, matrix_sheet.HEAD_AREA, matrix_sheet.BODY_AREA))
+    days = matrix_sheet.matrix_days(of_days)
+    labour = matrix_sheet.matrix_labour(inputs.matrix_cells(matrix_sheet.LABOUR_AREA))
+    return Extraction(days, matrix_sheet.matrix_unpivot(of_days, of_heads, of_values), labour, _no_extras(days, "name", "qty"))
 
 
 # The readers delivered with the system and the layout each one reads.

@@ -201,3 +201,40 @@ def test_headers_fill_ranges_as_merge_fill_does(spark):
     found = form_sheet.form_days(cells, sheets, merged)
     assert rows(found) == rows(plain) and found.count() == 5
     assert {(r.file_id, r.day_pos): (r.project_name, r.planned_pct) for r in found.collect()}[(1, 1)] == ("p", 7)
+
+
+def test_outputs_of_a_layout_begin_with_its_own_lines(spark):
+    """The files are worked out once; no output reads orders, joins lines with files or reads the lines of other layouts."""
+    from siteledger.plans import dispatch
+    from siteledger.queries import layouts
+
+    v = StarViews(spark, SF)
+    found = layouts._extraction(v)
+    for table in (found.days, found.items, found.labour, found.machines):
+        plan = plan_of(table)
+        assert "o_orderkey" not in plan and "LeftSemi" not in plan
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "l_orderkey" in line]
+        assert scans and all("layout#" in line.split("PartitionFilters")[1] for line in scans)
+    assert found.days.count() == dispatch.nest_days(found).filter("page = 0").count()
+
+
+def test_matrix_items_of_their_areas_are_those_of_all_cells(spark, tmp_path):
+    v = StarViews(spark, lines_of(tmp_path, spark))
+    parts = [cell_ops.clean_cells(v.matrix_cells_in(a)) for a in (matrix_sheet.DAY_AREA, matrix_sheet.HEAD_AREA, matrix_sheet.BODY_AREA)]
+    assert rows(matrix_sheet.matrix_unpivot(*parts)) == rows(matrix_sheet.matrix_unpivot(cell_ops.clean_cells(v.matrix_cells)))
+
+
+@pytest.mark.parametrize("name", ["form_sheet_days", "matrix_days"])
+def test_generated_methods_are_short_enough_to_be_compiled(spark, name):
+    import re
+
+    from siteledger.queries import layouts
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = getattr(layouts, name)(StarViews(spark, SF))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    assert sizes and max(sizes) < 8000
